@@ -65,6 +65,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def spread(df: DataFrame, n_groups: int, *by: str) -> DataFrame:
+    """df dealt by its groups to a fixed number of tasks: few bytes can be much work, which adaptive merging doesn't see."""
+    return df.repartition(max(1, min(n_groups, 4 * df.sparkSession.sparkContext.defaultParallelism)), *by)
+
+
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """left join right (inner or left), where right has one row per key and how many rows of left have it (count).
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged, texts_of
-from .tokens import Encoder
+from .common import small_batches, spread, staged, texts_of
+from .tokens import encoder
 
 PIECES = "doc_id long, row long, start long, length long, doc_tokens long, ids_crc32 long"
 
@@ -33,30 +33,29 @@ def difference(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(window of each item, load of each window) of k windows, by largest differencing."""
     n = len(lengths)
     left, right = np.full(2 * n, -1), np.full(2 * n, -1)  # trees of items that share a window
-    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    for i, x in enumerate(lengths):
-        loads, roots = np.zeros(k, np.int64), np.full(k, -1)
-        loads[0], roots[0] = x, i
-        heap.append((-int(x), i, loads, roots))
+    # a partial partition: what it has in its windows, the fullest first; windows without an item are left out
+    heap = [(-int(x), i, np.array([x], np.int64), np.array([i])) for i, x in enumerate(lengths)]
     heapq.heapify(heap)
     made, order = n, n
     while len(heap) > 1:
         _, _, a, ra = heapq.heappop(heap)
         _, _, b, rb = heapq.heappop(heap)
-        b, rb = b[::-1], rb[::-1]
-        loads = a + b
-        roots = np.maximum(ra, rb)
-        both = np.flatnonzero((ra >= 0) & (rb >= 0))
-        new = np.arange(made, made + len(both))
-        left[new], right[new], roots[both] = ra[both], rb[both], new
-        made += len(both)
+        b, rb, alone = b[::-1], rb[::-1], k - len(b)
+        shared = max(0, len(a) - alone)
+        own = len(a) - shared
+        loads = np.concatenate([a[:own], a[own:] + b[:shared], b[shared:]])
+        roots = np.concatenate([ra[:own], ra[own:], rb[shared:]])
+        if shared:
+            new = np.arange(made, made + shared)
+            left[new], right[new], roots[own : own + shared] = ra[own:], rb[:shared], new
+            made += shared
         by = np.argsort(-loads, kind="stable")
         loads, roots = loads[by], roots[by]
         order += 1
-        heapq.heappush(heap, (int(loads[-1] - loads[0]), order, loads, roots))
+        heapq.heappush(heap, (int((loads[-1] if len(loads) == k else 0) - loads[0]), order, loads, roots))
     _, _, loads, roots = heap[0]
     window = np.full(2 * n, -1)
-    window[roots[roots >= 0]] = np.flatnonzero(roots >= 0)
+    window[roots] = np.arange(len(roots))
     for x in range(made - 1, n - 1, -1):
         window[left[x]] = window[right[x]] = window[x]
     return window[:n], loads
@@ -64,12 +63,14 @@ def difference(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack_group(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """A window for each item, no window above capacity, as few as differencing fits them in."""
-    k = max(1, math.ceil(int(lengths.sum()) / capacity))
+    total = int(lengths.sum())
+    k = max(1, math.ceil(total / capacity))
     while True:
         window, loads = difference(lengths, k)
         if loads.max() <= capacity:
             return window
-        k += max(1, int(k * (loads.max() / capacity - 1) / 4))
+        # so many that a window as far above the mean as now would fit
+        k = max(k + 1, math.ceil(total / max(1.0, capacity - (loads.max() - total / k))))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -80,9 +81,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = Encoder(tokenizer), 0
+        row = 0
         for batch in batches:
-            flat, ends = encoder.encode(texts_of(batch.column(1)), end_id)
+            flat, ends = encoder(tokenizer).encode(texts_of(batch.column(1)), end_id)
             data, out, begin = flat.astype("<u4").tobytes(), [], 0
             view = memoryview(data)
             for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
@@ -102,7 +103,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
-def assign(cut: DataFrame, capacity: int, group_size: int = 1024) -> DataFrame:
+def assign(cut: DataFrame, capacity: int, group_size: int = 512) -> DataFrame:
     """pieces with sequence_id and offset."""
     full = F.col("length") == capacity
     rests = cut.filter(~full)
@@ -121,13 +122,14 @@ def assign(cut: DataFrame, capacity: int, group_size: int = 1024) -> DataFrame:
 
     fields = [*cut.columns, "sequence_id", "offset"]
     schema = cut.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
-    packed = rests.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(n_groups)).cast("int")).groupBy("g").applyInPandas(deal, schema)
+    packed = rests.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(n_groups)).cast("int"))
+    packed = spread(packed, n_groups, "g").groupBy("g").applyInPandas(deal, schema)
     # below zero, so that they meet no group's windows
     alone = cut.filter(full).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return alone.unionByName(packed)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_size: int = 1024, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, group_size: int = 512, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids: also the ids."""
     cut = staged(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces")
     return assign(cut, capacity, group_size).drop("row")

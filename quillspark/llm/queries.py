@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan
 from .packing import pack
 from .quality_rules import quality_rules
+from .site_quality import site_quality
 from .source_mix import mix_sources
 from .token_shards import token_shards
 
@@ -23,10 +25,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_docs(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(_docs(spark, sf_dir), tokenizer_path()).drop("path")
 
@@ -44,7 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_license_scan, op5_exact_dedup, op6_site_quality, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, scratch_path, small_batches, staged, texts_of
-from .tokens import Encoder
+from .tokens import encoder
 
 ROUNDS = 4
 #: One byte after each record, as Spark's text writer ends lines.
@@ -53,11 +53,11 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, width: int, end_id:
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place, task = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        place, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, ends = encoder.encode(texts_of(batch.column(1)), end_id)
+            flat, ends = encoder(tokenizer).encode(texts_of(batch.column(1)), end_id)
             counts = np.diff(ends, prepend=0)
             parts = -(-counts // length)
             doc = np.repeat(np.arange(len(ends)), parts)

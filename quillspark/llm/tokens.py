@@ -6,57 +6,126 @@ those of its words, one after another.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import os
 
 import numpy as np
 
 
+#: ASCII punctuation that may end a word; no apostrophe, which has rules of its own.
+PUNCTUATION = b".,!?;:*$%#&|"
+# one thread a task: Spark gives each task a core
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+class _Index(dict):
+    """Numbers words as they come, and notes the new ones."""
+
+    def __init__(self, *a: object):
+        super().__init__(*a)
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
-    """A tokenizer file of the tokenizers library, over UTF-8 texts."""
+    """A tokenizer file of the tokenizers library, over UTF-8 texts.
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    A word is a core and the punctuation that ends it; the ids of cores are what is remembered. At most about most_words
+    words and as many cores stay in memory.
+    """
+
+    def __init__(self, path: str, most_words: int = 800_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            kind = json.load(f)["pre_tokenizer"]
-        first = (kind.get("pretokenizers") or [kind])[0]
-        if first.get("type") != "Split" or first.get("behavior") != "Removed" or "\\s" not in json.dumps(first.get("pattern")):
+            kind = json.load(f)
+        split = (kind["pre_tokenizer"].get("pretokenizers") or [kind["pre_tokenizer"]])[0]
+        if split.get("type") != "Split" or split.get("behavior") != "Removed" or "\\s" not in json.dumps(split.get("pattern")):
             raise ValueError("this tokenizer doesn't drop white space")
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.lower = "Lowercase" in json.dumps(kind["normalizer"])
+        digit = self._ids(["7"])[0]
+        # a word of this one id can stand between others, in texts that have no 7
+        self.bar = digit[0] if len(digit) == 1 else None
+        self.words, self.cores = _Index(), _Index()
+        self.core_of, self.end_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.cores[b""]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
+    def _learn(self) -> None:
+        """Cores and ends of the words noted as new, then the ids of new cores."""
+        core_of, end_of = [], []
+        for w in self.words.new:
+            core = w.rstrip(PUNCTUATION)
+            if core and core != w and (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha()) and b"<|" not in w:
+                core_of.append(self.cores[core])
+                end_of.append(self.cores[w[len(core) :]])
+            else:
+                core_of.append(self.cores[w])
+                end_of.append(0)
+        self.words.new = []
+        self.core_of, self.end_of = np.append(self.core_of, np.array(core_of, np.int64)), np.append(self.end_of, np.array(end_of, np.int64))
+        new, self.cores.new = [w.decode("utf-8", "replace") for w in self.cores.new], []
         if not new:
             return
-        if len(self.index) + len(new) > self.most:
-            self._forget()
-            new = list(words)
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        for w in new:
-            self.index[w] = len(self.index)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))])
+        easy = np.array([self.bar is not None and w != "" and w.isprintable() and "7" not in w and "<|" not in w for w in new])
+        plain = np.flatnonzero(easy).tolist()
+        # many in one call, each followed by the bar, which none of them has
+        ids = self._ids([" 7 ".join([*(new[i] for i in plain[at : at + 200]), ""]) for at in range(0, len(plain), 200)])
+        ids = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
+        bars = np.flatnonzero(ids == self.bar) if plain else np.zeros(0, np.int64)
+        other = np.flatnonzero(~easy).tolist()
+        rest = self._ids([new[i] for i in other])
+        lengths = np.zeros(len(new), np.int64)
+        lengths[plain] = np.diff(bars, prepend=-1) - 1
+        lengths[other] = [len(x) for x in rest]
+        starts, order = np.zeros(len(new), np.int64), np.array(plain + other, np.int64)
+        starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
+        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
+        self.flat = np.concatenate([self.flat, np.delete(ids, bars), np.fromiter(itertools.chain.from_iterable(rest), np.uint32)])
+
+    def _trim(self) -> None:
+        """Keeps the words met first, which the frequent ones are among."""
+        if max(len(self.words), len(self.cores)) > self.most:
+            keep = self.most // 2
+            self.words = _Index(itertools.islice(self.words.items(), keep))
+            self.core_of, self.end_of = self.core_of[:keep], self.end_of[:keep]
+            cores = int(max(self.core_of.max(), self.end_of.max())) + 1
+            self.cores = _Index(itertools.islice(self.cores.items(), cores))
+            self.starts, self.lengths = self.starts[:cores], self.lengths[:cores]
+            self.flat = self.flat[: (self.starts + self.lengths).max()]
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, each closed by end_id; where each text ends)."""
-        words = [(t or b"").split() for t in texts]
-        self._learn({w for ws in words for w in ws})
+        self._trim()
+        words = [(t.lower() if self.lower and b"<|" not in t else t).split() if t else [] for t in texts]
         n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((self.index[w] for ws in words for w in ws), np.int64, int(n.sum()))
-        lengths = self.lengths[at]
-        text_ends = np.cumsum(n)
+        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
+        self._learn()
+        parts = np.empty(2 * len(at), np.int64)
+        parts[::2], parts[1::2] = self.core_of[at], self.end_of[at]
+        lengths = self.lengths[parts]
         token_ends = np.concatenate([[0], np.cumsum(lengths)])
-        ends = token_ends[text_ends] + np.arange(1, len(words) + 1)
+        ends = token_ends[2 * np.cumsum(n)] + np.arange(1, len(words) + 1)
         out = np.full(int(token_ends[-1]) + len(words), end_id, np.uint32)
         spots = np.ones(len(out), bool)
         spots[ends - 1] = False
-        begin = np.repeat(self.starts[at] - token_ends[:-1], lengths)
-        out[spots] = self.flat[begin + np.arange(len(begin))]
+        begin = np.repeat(self.starts[parts] - token_ends[:-1], lengths)
+        begin += np.arange(len(begin))
+        out[spots] = self.flat[begin]
         return out, ends
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves many tasks."""
+    return Encoder(path)
