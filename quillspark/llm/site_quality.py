@@ -23,7 +23,7 @@ from .common import join_counted, key_of, staged
 #: Labelled rows that the model is fitted on at most, about; which, a hash of doc_id decides.
 FIT_ROWS = 20_000
 SYMBOLS = "#*$%&<>"
-FEATURES = ("log_words", "word_length", "symbols", "bars", "shouts", "no_lower", "same_lines", "long_words")
+FEATURES = ("log_words", "word_length", "symbols", "bars", "shouts", "no_lower", "same_lines", "variety")
 
 
 def _share(text: Column, of: str, n: Column) -> Column:
@@ -47,7 +47,7 @@ def text_features(text: Column) -> list[Column]:
         F.least(F.lit(1.0), _share(text, "!", n_words)),
         F.size(F.filter(lines, lambda x: (F.length(x) >= 8) & ~x.rlike("\\p{Ll}"))) / F.size(lines),
         1 - F.size(F.array_distinct(lines)) / F.size(lines),
-        F.size(F.filter(words, lambda w: F.length(w) > 24)) / n_words,
+        F.log1p(F.size(F.array_distinct(words)).cast("double")) / F.log1p(n_words),
     ]
 
 
