@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,42 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, t
     return left.join(hot, on).unionByName(left.join(hot, on, "left_anti").join(cold, on, how))
 
 
+def components(links: DataFrame) -> DataFrame:
+    """node, label (the smallest node reachable) of an undirected graph of links a, b; a table all the way.
+
+    Each round takes the smallest label around, then the label of the label, so long chains shorten fast.
+    """
+    edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+    total = edges.count()
+    labels = staged(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count("*").alias("n")).withColumnRenamed("a", "node"), "labels")
+    while total:
+        near = join_counted(edges, labels.select(F.col("node").alias("b"), "label", "n"), ["b"], "n", total).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("label"), "n", F.col("label").alias("was"))
+        step = staged(step, "labels")
+        heads = step.groupBy(F.col("label").alias("head")).agg(F.count("*").alias("m")).join(step.select(F.col("node").alias("head"), F.col("label").alias("top")), "head")
+        new = join_counted(step.withColumnRenamed("label", "head"), heads, ["head"], "m", total)
+        new = staged(new.select("node", F.col("top").alias("label"), "n", (F.col("top") != F.col("was")).alias("moved")), "labels")
+        labels = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            break
+    return labels.select("node", "label")
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of sorted record batches; only one key's rows are in memory."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[:n_keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:n_keys], []
+            rows.append(row[n_keys:])
+    if rows:
+        yield key, rows
+
+
 def key_of(c: str) -> Column:
     """A key that is never null: null and every string differ."""
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))

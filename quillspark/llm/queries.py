@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .license_scan import license_scan
+from .minhash_dedup import minhash_dedup
 from .packing import pack
 from .quality_rules import quality_rules
 from .site_quality import site_quality
@@ -34,6 +35,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_docs(spark, sf_dir))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(_docs(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_docs(spark, sf_dir))
 
@@ -59,7 +64,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op5_exact_dedup, op6_site_quality, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_minhash_dedup, op5_exact_dedup, op6_site_quality, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
