@@ -29,7 +29,7 @@ from .common import WordHashes, components, join_counted, runs, small_batches, s
 #: Retained values; the least that two similar sketches share, as P(Binomial(48, 0.85) < 23) = 3e-10.
 K, OVERLAP = 48, 23
 #: Members and shingles of a block; two blocks meet in a task.
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
 
 def least_overlap(n: int, percent: int) -> int:

@@ -14,6 +14,7 @@ from .packing import pack
 from .quality_rules import quality_rules
 from .site_quality import site_quality
 from .source_mix import mix_sources
+from .substring_dedup import substring_dedup
 from .token_shards import token_shards
 
 
@@ -31,6 +32,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_docs(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_docs(spark, sf_dir))
 
@@ -64,7 +69,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_minhash_dedup, op5_exact_dedup, op6_site_quality, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)}
+    made = (op1_license_scan, op2_substring_dedup, op3_language_id, op4_minhash_dedup, op5_exact_dedup, op6_site_quality, op7_token_shards, op8_packing, op9_quality_rules, op10_source_mix)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
