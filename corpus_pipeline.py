@@ -5,8 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import staged
+from quillspark.llm.exact_dedup import without_copies
+from quillspark.llm.minhash_dedup import without_near_copies
+from quillspark.llm.packing import pack
+from quillspark.llm.queries import tokenizer_path
+from quillspark.llm.site_quality import good_documents
+from quillspark.llm.source_mix import mixed_documents
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return without_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return without_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences; the last stage, so columns of its own."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mix), ("packing", packed)]
 
 #: Fitted models, sampling and packing are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
