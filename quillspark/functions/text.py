@@ -68,7 +68,8 @@ def words(text: Column) -> Column:
 def guess_language(text: Column, first: tuple[str, ...], second: tuple[str, ...], names: tuple[str, str]) -> Column:
     """names[0] if it has strictly more hits, names[1] otherwise, unknown without a hit."""
     found = words(text)
-    a, b = (F.size(F.filter(found, lambda w, s=s: w.isin(*s))) for s in (first, second))
+    hits = lambda own: F.size(F.filter(found, lambda w: w.isin(*own)))
+    a, b = hits(first), hits(second)
     return F.when((a == 0) & (b == 0), "unknown").when(a > b, names[0]).otherwise(names[1])
 
 

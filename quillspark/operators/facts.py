@@ -95,7 +95,10 @@ def resolve_names(names: DataFrame, entities: DataFrame, name: str = "mention")
 
 def pattern_entities(docs: DataFrame, patterns: tuple[tuple[str, str], ...] = ENTITY_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, entity_type, name (first spelling), each once per document."""
-    hits = [F.transform(F.regexp_extract_all(text_col, F.lit(p), F.lit(1)), lambda x, t=t: F.struct(F.lit(t).alias("entity_type"), x.alias("name"))) for t, p in patterns]
+    def hit(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("name")))
+
+    hits = [hit(t, p) for t, p in patterns]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.concat(*hits), lambda x: (F.length(x["name"]) > 2) | (x["entity_type"] != "METHOD"))).alias("at", "e"))
     return rows.groupBy("doc_id", F.col("e.entity_type").alias("entity_type"), F.lower("e.name").alias("low")).agg(F.min(F.struct("at", "e.name"))["name"].alias("name")).drop("low")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpointed
 
@@ -28,7 +29,7 @@ def distances(edges: DataFrame, source: str, most: int | None = None, both_ways:
     if both_ways:
         e = e.union(e.select("v", "u"))
     e = e.distinct()
-    seen = checkpointed(e.sparkSession.createDataFrame([(source, 0)], e.select(F.col("u").alias("node")).schema.add("depth", "int")))
+    seen = checkpointed(e.sparkSession.createDataFrame([(source, 0)], e.select(F.col("u").alias("node")).schema.add("depth", T.IntegerType())))
     depth = 0
     while most is None or depth < most:
         step = seen.filter(F.col("depth") == depth).join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth + 1))
