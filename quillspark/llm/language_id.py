@@ -134,8 +134,9 @@ class Model:
             stuck = now < 0
             rows, cols = np.nonzero(stuck)
             if len(rows):  # a phrase ends here, and the next begins with this character
-                count[rows, cols] += 1
                 again = self.table[self.roots[rows] * width + c[cols]]
+                # the phrase that was under way, and this character alone if the sample hasn't got it
+                count[rows, cols] += (state[rows, cols] != self.roots[rows]).astype(np.int32) + (again < 0)
                 now[rows, cols] = np.where(again < 0, self.roots[rows], again)
             state[:, :n] = now
         count += state != roots  # the phrase that the end cuts off
