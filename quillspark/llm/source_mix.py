@@ -28,7 +28,7 @@ EPS = 1e-9
 
 def level_targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     """Shares of sum(sizes) by weight; none above cap times its size, the excess reshared by weight."""
-    total, full = float(sum(sizes)), [False] * len(sizes)
+    cap, total, full = float(cap), float(sum(sizes)), [False] * len(sizes)
     while True:
         rest = total - sum(cap * s for s, f in zip(sizes, full, strict=True) if f)
         open_weight = sum(w for w, f in zip(weights, full, strict=True) if not f)
