@@ -122,6 +122,6 @@ def json_rows(raw: Column, schema: str) -> Column:
     cut = F.concat(F.regexp_extract(bare, "(?s)(\\[.*\\})", 1), F.lit("]"))
     one = F.regexp_extract(bare, "(?s)(\\{.*\\})", 1)
     kind = f"array<{schema}>"
-    tried = [F.from_json(x, kind, {"mode": "PERMISSIVE"}) for x in (bare, array, cut)] + [F.array(F.from_json(one, schema))]
+    tried = [F.from_json(x, kind, {"mode": "PERMISSIVE"}) for x in (F.when(bare.startswith("["), bare), array, cut)] + [F.array(F.from_json(one, schema))]
     good = [F.when(F.size(F.filter(t, lambda r: r.isNotNull())) > 0, F.filter(t, lambda r: r.isNotNull())) for t in tried]
     return F.coalesce(*good, F.from_json(F.lit("[]"), kind))

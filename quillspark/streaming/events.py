@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
     """A folder of Parquet files as a stream."""
     schema = (spark.read.parquet(path) if like is None else like).schema
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks take no other type
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:
