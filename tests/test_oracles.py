@@ -21,3 +21,12 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert catalog.flagship(spark, "/root/testdata/sf0.001").count() == 20
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 80; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
