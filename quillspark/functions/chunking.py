@@ -7,23 +7,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import SECTION_WORDS
-from .text import clean
+from .text import bind, clean
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """array<struct<start, end, content>> of text: each window cut after the last ". " that begins in its final 100 characters."""
-    stride = size - overlap
+    """array<struct<start, end, content>> of text: each window cut after the last ". " that begins in its final 100 characters.
 
-    def cut(start: Column) -> Column:
-        raw = F.substring(text, start + 1, F.lit(size))
-        tail_at = F.greatest(F.lit(0), F.length(raw) - 100)
-        tail = F.substring(raw, tail_at + 1, F.lit(100))
-        back = F.locate(" .", F.reverse(tail))
-        dot = F.when(back > 0, tail_at + F.length(tail) - back - 1)
-        keep = F.when((start + size < F.length(text)) & (dot > 0), dot + 1).otherwise(F.length(raw))
-        return F.struct(start.alias("start"), (start + keep).alias("end"), F.substring(raw, F.lit(1), keep).alias("content"))
+    Each step binds what the next one uses, so that nothing is worked out twice.
+    """
+    return bind(text, lambda t: bind(F.length(t), lambda n: _windows(t, n, size, overlap)))
 
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.length(text) - 1, F.lit(stride)), cut)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,content:string>>)"))
+
+def _windows(text: Column, n: Column, size: int, overlap: int) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap))
+    raw = F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring(text, s + 1, F.lit(size)).alias("raw")))
+    tail = F.transform(raw, lambda x: F.struct(x["s"].alias("s"), x["raw"].alias("raw"), F.length(x["raw"]).alias("len")))
+    dot = F.transform(tail, lambda x: F.struct(x["s"].alias("s"), x["raw"].alias("raw"), x["len"].alias("len"), F.locate(" .", F.reverse(F.right(x["raw"], F.lit(100)))).alias("back")))
+    # the place of the stop, counted from the end of the window
+    cut = F.transform(dot, lambda x: F.struct(x["s"].alias("s"), x["raw"].alias("raw"), F.when((x["s"] + size < n) & (x["back"] > 0) & (x["len"] - x["back"] > 1), x["len"] - x["back"]).otherwise(x["len"]).alias("keep")))
+    return F.when(n > 0, F.transform(cut, lambda x: F.struct(x["s"].alias("start"), (x["s"] + x["keep"]).alias("end"), F.substring(x["raw"], F.lit(1), x["keep"]).alias("content")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,content:string>>)"))
 
 
 def chunk_fixed(docs: DataFrame, size: int = 512, overlap: int = 50, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,8 +56,8 @@ def sections(docs: DataFrame, words: tuple[str, ...] = SECTION_WORDS, id_col: st
 
 def chunk_sections(docs: DataFrame, size: int = 512, overlap: int = 50, least: int = 100, words: tuple[str, ...] = SECTION_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks by section; chunk_index runs on over a document's sections."""
-    s = sections(docs, words, id_col, text_col).withColumn("b", F.trim(F.regexp_replace("body", "\\s+", " ")))
-    w = s.select("doc_id", "section_no", "section", F.length("b").alias("n"), F.posexplode(windows(F.col("b"), size, overlap)).alias("k", "c"))
+    s = sections(docs, words, id_col, text_col).withColumn("b", F.trim(F.regexp_replace("body", "\\s+", " "))).withColumn("n", F.length("b"))
+    w = s.select("doc_id", "section_no", "section", "n", F.posexplode(windows(F.col("b"), size, overlap)).alias("k", "c"))
     order = Window.partitionBy("doc_id").orderBy("section_no", "k")
     long_enough = F.length(F.trim("c.content")) >= least
     before = F.coalesce(F.max(F.when(long_enough, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -5,10 +5,17 @@ Java's \\s, \\b and (?i) are ASCII only; where other alphabets matter, patterns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row however often use needs it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """White space to one blank, then runs beyond ASCII to a blank, then trimmed; two blanks in a row can stay."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, "\\s+", " "), "[^\\x00-\\x7F]+", " "))
@@ -88,8 +95,7 @@ def normalise(text: Column) -> Column:
 def content_overlap(needle: Column, text: Column, stop: tuple[str, ...] = ()) -> Column:
     """The share of needle's distinct words of four letters or more, without stop words, that stand somewhere in text."""
     own = F.filter(F.array_distinct(F.regexp_extract_all(F.lower(needle), F.lit("([a-z]{4,})"))), lambda w: ~w.isin(*stop) if stop else F.lit(True))
-    hay = F.lower(text)
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: hay.contains(w))) / F.size(own)).otherwise(0.0)
+    return bind(F.lower(text), lambda hay: bind(own, lambda o: F.when(F.size(o) > 0, F.size(F.filter(o, lambda w: hay.contains(w))) / F.size(o)).otherwise(0.0)))
 
 
 def is_degenerate(text: Column, least: int = 10) -> Column:
