@@ -38,12 +38,14 @@ SELECT lang, CASE WHEN a = 0 AND b = 0 THEN 'unknown' WHEN a > b THEN 'de' ELSE
 
 
 def overlap(spark, d):
-    b = F.broadcast(table(spark, d, "benchmark").filter("item_id < 3").select("item_id", F.col("text").alias("b")))
-    return _docs(spark, d).crossJoin(b).select("doc_id", "item_id", F.round(text.content_overlap(F.substring("b", 1, 200), F.col("text"), STOP), 6).alias("score")).filter("score > 0")
+    """How much of each turn's content the turn before it has."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return c.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.content_overlap(F.col("text"), F.col("before"), STOP), 6).alias("score"))
 
 
-_OVERLAP = f"""WITH b AS (SELECT item_id, list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '([a-z]{{4,}})', 1)), lambda x: x NOT IN {_words(STOP)}) AS ws FROM benchmark WHERE item_id < 3)
-SELECT doc_id, item_id, round(len(list_filter(ws, lambda x: contains(lower(text), x))) / len(ws), 6) AS score FROM documents, b WHERE len(ws) > 0 AND len(list_filter(ws, lambda x: contains(lower(text), x))) > 0"""
+_OVERLAP = f"""WITH c AS (SELECT a.conv_id, a.turn, lower(b.text) AS t, list_filter(list_distinct(regexp_extract_all(lower(a.text), '([a-z]{{4,}})', 1)), lambda x: x NOT IN {_words(STOP)}) AS ws FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn)
+SELECT conv_id, turn, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(t, x))) / len(ws), 6) ELSE 0.0 END AS score FROM c"""
 
 QUERIES = {
     "doc_clean": (lambda s, d: _docs(s, d).select("doc_id", F.md5(text.clean(F.col("text"))).alias("clean_md5"), F.length(text.clean(F.col("text"))).alias("n")), f"SELECT doc_id, md5({_CLEAN}) AS clean_md5, CAST(length({_CLEAN}) AS INTEGER) AS n FROM documents"),
@@ -51,8 +53,8 @@ QUERIES = {
     "doc_title": (lambda s, d: _docs(s, d).select("doc_id", text.title(F.col("text")).alias("title")), "SELECT doc_id, list_filter(list_transform(list_slice(string_split(text, chr(10)), 1, 20), lambda x: trim(x, ' ')), lambda x: length(x) > 20 AND length(x) < 200)[1] AS title FROM documents"),
     "doc_year": (lambda s, d: table(s, d, "events").select("event_id", text.year(F.date_format("ts", "yyyy-MM-dd")).alias("year")), "SELECT event_id, CAST(regexp_extract(strftime(ts, '%Y-%m-%d'), '\\b(19|20)\\d{2}\\b') AS INTEGER) AS year FROM events"),
     "doc_citations": (
-        lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.sort_array(text.citations(F.concat(F.lit("[1] ["), (F.col("doc_id") % 7).cast("string"), F.lit("] (Smith et al., 2020) (Doe, 2019) [1] "), F.substring("text", 1, 500)))), ";").alias("cites")),
-        "WITH t AS (SELECT doc_id, '[1] [' || (doc_id % 7) || '] (Smith et al., 2020) (Doe, 2019) [1] ' || substr(text, 1, 500) AS x FROM documents) SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(regexp_extract_all(x, '\\[\\d+\\]'), regexp_extract_all(x, '\\([A-Z][a-z]+(?: et al\\.)?, \\d{4}\\)')))), 'string_agg', ';') AS cites FROM t",
+        lambda s, d: _docs(s, d).select("doc_id", F.array_join(F.sort_array(text.citations(F.concat(F.lit("[1] ["), (F.col("doc_id") % 7).cast("string"), F.lit("] (Smith et al., 2020) (Doe, 2019) [1] "), F.col("text")))), ";").alias("cites")),
+        "WITH t AS (SELECT doc_id, '[1] [' || (doc_id % 7) || '] (Smith et al., 2020) (Doe, 2019) [1] ' || text AS x FROM documents) SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(regexp_extract_all(x, '\\[\\d+\\]'), regexp_extract_all(x, '\\([A-Z][a-z]+(?: et al\\.)?, \\d{4}\\)')))), 'string_agg', ';') AS cites FROM t",
     ),
     "doc_id_md5": (lambda s, d: table(s, d, "pages").select("page_id", text.doc_key(F.col("url")).alias("key")), "SELECT page_id, substr(md5(url), 1, 16) AS key FROM pages"),
     "doc_sentences": (lambda s, d: _docs(s, d).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n")), "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) > 20)) AS INTEGER) AS n FROM documents"),

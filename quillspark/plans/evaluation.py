@@ -68,5 +68,5 @@ QUERIES = {
     ),
     "holm": (holm, "WITH k AS (SELECT p_brand, p_partkey, p_size / 1000 AS p FROM part WHERE p_partkey % 10 <> 0), r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1)) AS raw FROM k), a AS (SELECT p_partkey, max(raw) OVER (PARTITION BY p_brand ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING) AS adj FROM r) SELECT part.p_partkey, round(adj, 6) AS adjusted FROM part LEFT JOIN a ON a.p_partkey = part.p_partkey"),
     "mean_std": (lambda s, d: stats.mean_std(table(s, d, "events"), ["event_type"], "value"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1"),
-    "bootstrap_median": (lambda s, d: stats.bootstrap_median_diff(table(s, d, "supplier").filter("s_suppkey < 100").groupBy((F.col("s_nationkey") % 3).alias("k")).agg(F.sort_array(F.collect_list(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("s_suppkey") % 2 == 1, F.col("s_acctbal")))).alias("b")), "k", 500), None),
+    "bootstrap_median": (lambda s, d: stats.bootstrap_median_diff(table(s, d, "supplier").groupBy((F.col("s_nationkey") % 3).alias("k")).agg(F.sort_array(F.collect_list(F.when(F.col("s_suppkey") % 2 == 0, F.col("s_acctbal")))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("s_suppkey") % 2 == 1, F.col("s_acctbal")))).alias("b")), "k", 500), None),
 }

@@ -1,6 +1,7 @@
 """Results that can be worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def test_temporal_and_transitive_rules(spark):
     assert (got["C2"], got["C3"], got["K1"], got["K3"], got["F1"]) == ("REJECT", "FLAG", "FLAG", "FLAG", "PASS")
 
 
+def test_paths_meet_in_the_middle(spark):
+    rng = random.Random(3)
+    nodes = [f"n{i}" for i in range(9)]
+    pairs = [(rng.choice(nodes), "IMPROVES", rng.choice(nodes)) for _ in range(40)]
+    nxt = {u: {v for a, _, v in pairs if a == u} for u in nodes}
+
+    def paths(at, target, seen):
+        return sum(1 if v == target else paths(v, target, seen | {v}) if len(seen) < 4 else 0 for v in nxt[at] - seen)
+
+    ends = [(f"{a}{b}", a, b) for a in nodes for b in nodes] + [("none", None, "n1")]
+    got = {r["claim_id"]: r["n_paths"] for r in rules.count_paths(spark.createDataFrame(ends, "claim_id string, source string, target string"), spark.createDataFrame(pairs, "subject_id string, predicate string, object_id string"), 10**6).collect()}
+    assert got == {k: n for k, a, b in ends[:-1] if (n := paths(a, b, {a}))}
+
+
 def test_ranking_metrics(spark):
     rows = [("a", 1, 1, 2), ("a", 2, 0, 2), ("b", 1, 0, 1), ("b", 2, 1, 1), ("c", 1, 0, 3), ("d", 1, 1, 2), ("d", 2, 1, 2)]
     m = {r["query_id"]: r for r in retrieval.relevance_metrics(spark.createDataFrame(rows, "query_id string, rank int, rel int, total_relevant int"), 2).collect()}
