@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .license_scan import license_scan
@@ -74,4 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fitted models, sampling, training order and packing have none."""
+    return {"op1_license_scan": oracles.license_scan(), "op2_substring_dedup": oracles.substring_dedup(), "op4_minhash_dedup": oracles.minhash_dedup(), "op5_exact_dedup": oracles.exact_dedup(), "op9_quality_rules": oracles.quality_rules()}
