@@ -33,6 +33,14 @@ def test_stages(spark):
     assert all(b > 0 for _, _, b in sizes)
 
 
+def test_near_stage_takes_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    # 96 shingles each: nine changed words leave 87 of 105 (0.829), twelve 84 of 108 (0.778)
+    texts = [words, words[:91] + [f"x{i}" for i in range(9)], [f"v{w}" for w in words], [f"v{w}" for w in words[:88]] + [f"y{i}" for i in range(12)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()} == {0, 2, 3}
+
+
 def test_registered():
     assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in q.queries()]
     assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 11))
