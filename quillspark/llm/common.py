@@ -49,6 +49,14 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs staged with a number of its own for each row, and that column's name, which docs doesn't have."""
+    name = "row_no"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Deletes this session's scratch tables, if the session still runs."""

@@ -6,7 +6,8 @@ new; a positive is looked up in the exact buckets, where all 32 bytes of SHA-256
 compared. Texts are never shuffled, only digests. A whole table runs as batches: the first becomes the snapshot.
 
 Null texts count as empty, and all empty texts are equal. Repeated rows count as rows of their group and share its
-verdict: keep_id is the doc_id that stays, so rows with that very doc_id are all marked kept. A null doc_id loses to any
+verdict: keep_id is the doc_id that stays, so rows with that very doc_id are all marked kept, unless the rows are told
+apart by a column of numbers (row_col): then the first of them alone is. A null doc_id loses to any
 other at the same length. An empty table gives an empty result.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_counted, mix, staged
+from .common import SPACES, join_counted, mix, numbered, staged
 
 #: Keys that a filter holds at most, about; filters of more than FILTER_BYTES in all aren't broadcast.
 BUCKET_KEYS, MIN_BUCKETS, FILTER_BYTES = 262_144, 1024, 64 << 20
@@ -112,17 +113,18 @@ class Snapshot:
     filter_bytes: int
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the text's length in code points, the digest of its normalised form."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, the text's length in code points, the digest of its normalised form; row, if the rows have a number."""
     plain = F.coalesce(F.col(text_col), F.lit(""))
     for c in SPACES:
         plain = F.replace(plain, F.lit(c), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(plain, 256)).alias("digest"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"), F.unhex(F.sha2(plain, 256)).alias("digest"), *([F.col(row_col).alias("row")] if row_col else []))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """One row per digest; a task sums up what it reads, so a hot digest is a row per task."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"))).alias("best")
+    row = [(-F.col("row")).alias("neg_row")] if "row" in rows.columns else []
+    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg"), *row)).alias("best")
     return rows.groupBy("digest").agg(best, F.count("*").alias("n"))
 
 
@@ -177,19 +179,25 @@ def absorb(batch: DataFrame, snapshot: Snapshot) -> DataFrame:
     return both.unionByName(new).unionByName(maybe.join(old, "digest", "left_anti"))
 
 
-def exact_dedup(docs: DataFrame, n_batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Batches are dealt by a hash of doc_id."""
-    rows = staged(digests(docs, id_col, text_col).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int")), "digests")
+def exact_dedup(docs: DataFrame, n_batches: int = 2, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Batches are dealt by a hash of doc_id.
+
+    row_col: distinct numbers of the rows; kept then holds for one row of a group, and row is a column more.
+    """
+    rows = staged(digests(docs, id_col, text_col, row_col).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int")), "digests")
     groups = _grouped(rows.filter("batch = 0"))
     for k in range(1, n_batches):
         groups = absorb(rows.filter(F.col("batch") == k), freeze(groups))
-    many = staged(groups.filter("n > 1").select("digest", (-F.col("best.neg")).alias("keep"), "n", F.col("n").alias("group_size")), "groups")
+    first = [(-F.col("best.neg_row")).alias("keep_row")] if row_col else []
+    many = staged(groups.filter("n > 1").select("digest", (-F.col("best.neg")).alias("keep"), *first, "n", F.col("n").alias("group_size")), "groups")
     out = join_counted(rows.drop("batch"), many, ["digest"], "n", rows.count(), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    kept = F.col("row") == F.coalesce("keep_row", "row") if row_col else F.col("doc_id").eqNullSafe(keep)
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *(["row"] if row_col else []))
 
 
 def without_copies(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents that stay, columns as they came. Rows without doc_id can't be named and stay."""
-    gone = exact_dedup(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group, columns as they came; repeated and null doc_ids are rows like any other."""
+    rows, no = numbered(docs)
+    gone = exact_dedup(rows, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no))
+    return rows.join(gone, no, "left_anti").select(docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, join_counted, runs, small_batches, spread, staged, texts_of, windows_hash
+from .common import WordHashes, components, join_counted, numbered, runs, small_batches, spread, staged, texts_of, windows_hash
 
 #: Retained values; the least that two similar sketches share, as P(Binomial(48, 0.85) < 23) = 3e-10.
 K, OVERLAP = 48, 23
@@ -198,7 +198,15 @@ def minhash_dedup(docs: DataFrame, percent: int = 85, width: int = 5, id_col: st
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_copies(docs: DataFrame, **options: object) -> DataFrame:
-    """The first document of each component, columns as they came. Rows without doc_id can't be named and stay."""
-    gone = minhash_dedup(docs, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def without_near_copies(docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, columns as they came: the first by doc_id, those without one last.
+
+    Rows are told apart by numbers, so repeated and null doc_ids are rows like any other.
+    """
+    rows, no = numbered(docs)
+    found = minhash_dedup(rows, percent, width, no, text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    found = staged(found.join(rows.select(F.col(no).alias("row"), F.col(id_col).alias("id")), "row"), "components")
+    best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("best")
+    many = found.groupBy("component").agg(best, F.count("*").alias("n")).filter("n > 1").select("component", F.col("best.row").alias("keep"), "n")
+    gone = join_counted(found, many, ["component"], "n", found.count()).filter("row <> keep").select(F.col("row").alias(no))
+    return rows.join(gone, no, "left_anti").select(docs.columns)

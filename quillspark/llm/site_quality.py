@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, key_of, staged
+from .common import join_counted, key_of, numbered, staged
 
 #: Labelled rows that the model is fitted on at most, about; which, a hash of doc_id decides.
 FIT_ROWS = 20_000
@@ -91,15 +91,17 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return float(np.clip(within / max(spread, 1e-9) - 1, 5.0, 1000.0))
 
 
-def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, doc_score, host_score, path_score, quality_score, kept.
 
-    host, path: columns of docs; source and lang unless given.
+    host, path: columns of docs; source and lang unless given. row_col: numbers of the rows, which come back as row.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    rows = docs.select(F.col(id_col).alias("doc_id"), host.cast("string").alias("h"), path.cast("string").alias("p"), F.array(*text_features(F.col(text_col))).alias("x"))
-    rows = staged(rows.select("doc_id", key_of("h").alias("host"), F.concat_ws("\u0000", key_of("h"), key_of("p")).alias("path"), "x"), "features")
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, host.cast("string").alias("h"), path.cast("string").alias("p"), F.array(*text_features(F.col(text_col))).alias("x"))
+    row = ["row"] if row_col else []
+    rows = staged(rows.select("doc_id", *row, key_of("h").alias("host"), F.concat_ws("\u0000", key_of("h"), key_of("p")).alias("path"), "x"), "features")
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     n_known = known.count()
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, n_known))))
@@ -118,10 +120,11 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     out = join_counted(rows.drop("host"), paths, ["path"], "n", int(total["n"] or 0))
     odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
     out = out.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("path_score")) - odds(F.lit(mean))))))
-    return out.select("doc_id", F.col("score").alias("doc_score"), "host_score", "path_score", "quality_score", (F.col("quality_score") >= threshold).alias("kept"))
+    return out.select("doc_id", F.col("score").alias("doc_score"), "host_score", "path_score", "quality_score", (F.col("quality_score") >= threshold).alias("kept"), *row)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """The documents that are not rejected, columns as they came. Rows without doc_id can't be named and stay."""
-    gone = site_quality(docs, labels, **options).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows that are not rejected, columns as they came; repeated and null doc_ids are rows like any other."""
+    rows, no = numbered(docs)
+    gone = site_quality(rows, labels, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no))
+    return rows.join(gone, no, "left_anti").select(docs.columns)

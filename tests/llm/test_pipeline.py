@@ -5,6 +5,7 @@ import collections
 import corpus_pipeline
 
 from quillspark.llm import queries as q
+from quillspark.llm.site_quality import good_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +42,30 @@ def test_near_stage_takes_four_fifths(spark):
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()} == {0, 2, 3}
 
 
+def test_rows_are_judged_one_by_one(spark):
+    text = lambda of: " ".join(f"{of}{i}" for i in range(60))
+    a, b = text("a"), text("b")
+    near = a.replace("a59", "a60")
+    rows = [(3, a), (5, a), (5, b), (7, b), (7, b), (None, a), (None, text("c")), (None, text("c")), (8, text("d")), (8, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    want = sorted([(3, a), (5, b), (None, text("c")), (8, text("d")), (8, text("e"))], key=repr)
+    assert kept(stages["exact_dedup"](spark, docs, SF)) == want
+    assert kept(stages["near_dedup"](spark, docs, SF)) == want
+    more = docs.unionByName(spark.createDataFrame([(5, near, "en", "s", 0), (None, near, "en", "s", 0)], docs.schema))
+    assert kept(stages["near_dedup"](spark, more, SF)) == want
+
+
+def test_quality_stage_rejects_rows_not_ids(spark):
+    good, junk = " ".join(f"plain{chr(97 + i % 26)}" for i in range(90)), "### | BUY $$$ !!! " * 30
+    rows = [(i, good if i % 2 else junk) for i in range(40)] + [(90, good), (90, junk), (None, good), (None, junk)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    after = sorted(((r["doc_id"], r["text"]) for r in good_documents(docs, labels).collect()), key=repr)
+    assert after == sorted([(i, t) for i, t in rows if t == good], key=repr)
+
+
 def test_registered():
     assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in q.queries()]
     assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 11))
