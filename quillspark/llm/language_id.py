@@ -24,13 +24,17 @@ from .common import small_batches
 
 #: Characters of labelled text in all languages together, and in each at most: the bound of the fit.
 TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 1_200_000, 60_000, 4_000
-#: Letters that have a code of their own; the rest share the last one, which no sample has.
+#: Columns of the table of transitions. Every character of a sample has a code; those past the columns, the rarest, have
+#: their transitions in a sorted list. The last code is that of all characters which no sample has.
 ALPHABET = 60
 STRETCH = 1024
 
 
 class SuffixAutomaton:
-    """All substrings of a string of small codes, as a table of transitions; state 0 is the empty string."""
+    """All substrings of a string of codes, as a table of transitions; state 0 is the empty string.
+
+    Codes from n_codes - 1 on have no column: their transitions are rare, rows of state, code, next state.
+    """
 
     def __init__(self, codes: np.ndarray, n_codes: int):
         link, length, follow = [-1], [0], [{}]
@@ -59,8 +63,14 @@ class SuffixAutomaton:
                     link[to] = link[now] = twin
             last = now
         self.table = np.full((len(length), n_codes), -1, np.int32)
+        rare = []
         for state, out in enumerate(follow):
-            self.table[state, list(out)] = list(out.values())
+            for c, to in out.items():
+                if c < n_codes - 1:
+                    self.table[state, c] = to
+                else:
+                    rare.append((state, c, to))
+        self.rare = np.array(rare, np.int64).reshape(-1, 3)
         self.size = len(codes)
 
 
@@ -77,15 +87,15 @@ class Alphabet:
         for s in samples.values():
             for c in s:
                 seen[c] = seen.get(c, 0) + 1
-        chars = sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 1]
+        chars = sorted(seen, key=lambda c: (-seen[c], c))
         self.n = len(chars) + 1
-        self.of = np.full(0x110000, self.n - 1, np.uint8)
+        self.of = np.full(0x110000, self.n - 1, np.int32)
         self.of[[ord(c) for c in chars]] = np.arange(len(chars))
         blank = self.of[32] if " " in chars else self.n - 1
         # every code point at once: letters fold to lower case, the rest to a blank
-        self.raw = np.full(0x110000, blank, np.uint8)
+        self.raw = np.full(0x110000, blank, np.int32)
         self.letter = np.zeros(0x110000, bool)
-        for o in range(0x30000):
+        for o in range(0x40000):
             c = chr(o)
             if c.isalpha():
                 self.letter[o] = True
@@ -106,17 +116,35 @@ class Model:
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.alphabet = Alphabet(samples)
+        self.width = min(self.alphabet.n, ALPHABET)
         parts, roots, bits, at = [], [], [], 0
+        keys, nexts = [], []
         for lang in self.langs:
             codes, _ = self.alphabet.encode(samples[lang])
-            a = SuffixAutomaton(codes, self.alphabet.n)
+            a = SuffixAutomaton(codes, self.width)
             parts.append(np.where(a.table >= 0, a.table + at, -1))
+            keys.append((a.rare[:, 0] + at) * self.alphabet.n + a.rare[:, 1])
+            nexts.append((a.rare[:, 2] + at).astype(np.int32))
             roots.append(at)
             bits.append(math.log2(max(2, a.size)))
             at += len(a.table)
         self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+        keys, nexts = np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*nexts, np.zeros(0, np.int32)])
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_next = keys[order], nexts[order]
         self.roots, self.bits = np.array(roots, np.int32), np.array(bits)
 
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next state of each, or -1; c has the shape of state, or of one of its rows."""
+        last = self.width - 1
+        now = self.table[state * self.width + np.minimum(c, last)]
+        if len(self.rare_keys) and (c >= last).any():
+            at = np.nonzero(np.broadcast_to(c >= last, state.shape))
+            key = state[at].astype(np.int64) * self.alphabet.n + np.broadcast_to(c, state.shape)[at]
+            place = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            now[at] = np.where(self.rare_keys[place] == key, self.rare_next[place], -1)
+        return now
+
     def phrases(self, stretches: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each stretch: an array of stretches by languages."""
         order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
@@ -124,17 +152,17 @@ class Model:
         grid = np.zeros((max(1, int(sizes.max(initial=0))), len(order)), np.int32)
         for j, i in enumerate(order):
             grid[: sizes[j], j] = stretches[i]
-        n_langs, width = len(self.langs), self.alphabet.n
+        n_langs = len(self.langs)
         roots = np.repeat(self.roots[:, None], len(order), 1)
         state, count = roots.copy(), np.zeros((n_langs, len(order)), np.int32)
         alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # how many have a character at this step
         for step, n in enumerate(alive.tolist()):
             c = grid[step, :n]
-            now = self.table[state[:, :n] * width + c]
+            now = self.follow(state[:, :n], c)
             stuck = now < 0
             rows, cols = np.nonzero(stuck)
             if len(rows):  # a phrase ends here, and the next begins with this character
-                again = self.table[self.roots[rows] * width + c[cols]]
+                again = self.follow(self.roots[rows], c[cols])
                 # the phrase that was under way, and this character alone if the sample hasn't got it
                 count[rows, cols] += (state[rows, cols] != self.roots[rows]).astype(np.int32) + (again < 0)
                 now[rows, cols] = np.where(again < 0, self.roots[rows], again)
@@ -145,7 +173,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        codes = [self.alphabet.encode(t) if t else (np.zeros(0, np.uint8), False) for t in texts]
+        codes = [self.alphabet.encode(t) if t else (np.zeros(0, np.int32), False) for t in texts]
         stretches = [c[at : at + STRETCH] for c, _ in codes for at in range(0, len(c), STRETCH)]
         owner = np.array([i for i, (c, _) in enumerate(codes) for _ in range(0, len(c), STRETCH)], np.int64)
         total = np.zeros((len(texts), len(self.langs)))
@@ -172,16 +200,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample of labelled rows: which rows, a hash of doc_id decides."""
+    """A model from a bounded sample of labelled rows: which rows, a hash of doc_id decides. Every language has a sample."""
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(TOTAL_CHARS // ROW_CHARS).collect()}
-    each = min(LANGUAGE_CHARS, TOTAL_CHARS // max(1, len(counts)))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, ROW_CHARS).alias("t"))
+    rows = rows.filter(F.col("t").rlike("\\p{L}")).withColumn("h", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
+    each = max(1, min(LANGUAGE_CHARS, TOTAL_CHARS // max(1, len(counts))))
     want = 8 * (each // 1000 + 1)
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(int(1_000_000 * min(1.0, want / n)))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < share)
-    sample = chosen.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.substring(text_col, 1, ROW_CHARS).alias("t")).collect()
+    # the row with the least hash is in the sample, whatever the share
+    shares = [(r["lang"], max(r["least"] + 1, int(1_000_000 * min(1.0, want / r["n"])))) for r in counts]
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang").filter("h < share")
+    sample = chosen.select("lang", "id", "t").collect()
     texts: dict[str, str] = {}
     seen: set[str] = set()
     for r in sorted(sample, key=lambda r: (r["lang"], str(r["id"]))):

@@ -54,6 +54,27 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_language_id_codes_every_character():
+    rng = random.Random(8)
+    # letters in the thousands: two languages with no letter in common, and one of Latin letters
+    scripts = {"ja": range(0x4E00, 0x4E00 + 2000), "zh": range(0x6000, 0x6000 + 2000), "en": range(97, 123)}
+    prose = {lang: [chr(rng.choice(of)) for _ in range(6000)] for lang, of in scripts.items()}
+    model = li.Model({lang: li.plain("".join(t[:5000])) for lang, t in prose.items()})
+    got, scores = model.predict(["".join(t[100:400]) for t in prose.values()])
+    assert got == list(prose) and min(scores) > 0.5
+    assert model.alphabet.n > 2 * li.ALPHABET
+    # a character that no sample has is not taken for one that a sample has
+    assert model.alphabet.encode("\u0416")[0].tolist() == [model.alphabet.n - 1]
+
+
+def test_language_id_learns_every_language(spark):
+    rows = [(i, f"{chr(0x4E00 + i // 4)} {chr(0x5E00 + i // 4)}" * 9, f"l{i // 4:03}") for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    learned = {r["lang"] for r in docs.filter(~li.held_out()).select("lang").distinct().collect()}
+    assert len(learned) > 300
+    assert set(li.learn(docs).langs) == learned
+
+
 def words(t):
     return (t or "").encode().split()
 
