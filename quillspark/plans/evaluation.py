@@ -18,7 +18,7 @@ def raters(s, d):
 
 
 def two_sides(s, d):
-    o = table(s, d, "orders").filter("o_orderkey < 3000")
+    o = table(s, d, "orders")
     return o.select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("side"), F.round(F.col("o_totalprice") / 1000).alias("v"))
 
 
