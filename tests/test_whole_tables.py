@@ -2,6 +2,7 @@
 
 import bisect
 import collections
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,3 +27,13 @@ def test_two_sides_read_all_orders(spark):
         assert (delta[p]["n1"], delta[p]["n2"]) == (len(x["a"]), len(b))
         assert delta[p]["delta"] == pytest.approx((less + upto) / pairs - 1, abs=2e-6)
         assert u[p]["u"] == pytest.approx((less + upto) / 2, abs=1e-5)
+
+
+def test_cooccurrence_takes_twenty(spark):
+    orders = collections.defaultdict(dict)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber").collect():
+        own = orders[r["l_orderkey"]]
+        own[r["l_partkey"]] = min(own.get(r["l_partkey"], r["l_linenumber"]), r["l_linenumber"])
+    want = {(o, a, b) for o, own in orders.items() for a, b in itertools.combinations(sorted(own, key=lambda p: (own[p], p))[:20], 2)}
+    got = [tuple(r) for r in QUERIES["cooccurrence_edges"](spark, SF).select("l_orderkey", "a", "b").collect()]
+    assert len(got) == len(want) and set(got) == want
