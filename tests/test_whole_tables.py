@@ -4,6 +4,7 @@ import bisect
 import collections
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,45 @@ def test_cooccurrence_takes_twenty(spark):
     want = {(o, a, b) for o, own in orders.items() for a, b in itertools.combinations(sorted(own, key=lambda p: (own[p], p))[:20], 2)}
     got = [tuple(r) for r in QUERIES["cooccurrence_edges"](spark, SF).select("l_orderkey", "a", "b").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def vectors(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return [r["vec_id"] for r in rows], [r["label"] for r in rows], x @ x.T
+
+
+@pytest.mark.parametrize(("name", "k", "skip"), [("vec_topk_many", 10, False), ("similar_paper", 5, True), ("known_item_metrics", 10, True)])
+def test_searches_take_every_hundredth(spark, name, k, skip):
+    ids, _, cos = vectors(spark)
+    got = collections.defaultdict(list)
+    for r in QUERIES[name](spark, SF).collect():
+        got[r["query_id"]].append(r)
+    assert set(got) == {i for i in ids if i % 100 == 0} and max(got) > 25
+    for q, rows in got.items():
+        if name != "known_item_metrics":
+            scores = sorted((cos[ids.index(q)][j] for j, i in enumerate(ids) if not (skip and i == q)), reverse=True)[:k]
+            assert [r["score"] for r in sorted(rows, key=lambda r: r["rank"])] == pytest.approx(scores, abs=2e-6)
+
+
+def test_matching_takes_all_vectors(spark):
+    ids, labels, cos = vectors(spark)
+    want = set()
+    for label in set(labels):
+        own = [j for j, x in enumerate(labels) if x == label]
+        pairs = sorted((-round(cos[a][b], 6), ids[a], ids[b]) for a in own for b in own if ids[a] % 2 == 0 and ids[b] % 2 == 1)
+        used = set()
+        for s, a, b in pairs:
+            if -s >= 0.1 and not {a, b} & used:
+                used |= {a, b}
+                want.add((label, a, b))
+    assert {(r["label"], r["detected"], r["gold"]) for r in QUERIES["greedy_matching"](spark, SF).collect()} == want
+    assert max(a for _, a, _ in want) > 80
+
+
+def test_topics_take_labels_met_late(spark, tmp_path):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 150")
+    e.withColumn("label", F.when(F.col("vec_id") == 120, F.lit(77)).otherwise(F.col("label")).cast(e.schema["label"].dataType)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["topic"] for r in QUERIES["topic_assign"](spark, str(tmp_path)).collect()}
+    assert got[120] == 77
