@@ -2,7 +2,9 @@
 
 A text becomes canonical: lower case, copyright lines out, equivalent spellings made one, everything but letters and digits
 to single blanks. Its SHA-256 is joined with the digests of known licences, which are made the same way. The texts looked
-up are each whole document and each whole line of it, so that a notice in a page is found as a full licence file is.
+up are each whole document, with its line breaks folded too, each whole line, each block between blank lines with its
+line breaks folded, and runs of blocks. So a full licence file is found however it is wrapped, and so are a wrapped
+notice in a page and a full licence there, if it is parted by blank lines as in the files under licences/.
 
 Null and empty texts have no licence. Repeated rows are scanned one by one; a repeated doc_id has the notices of all its rows. The known
 licences go by broadcast only if they are few, which is checked.
@@ -10,6 +12,9 @@ licences go by broadcast only if they are few, which is checked.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 FEW = 20_000
 #: Spellings that mean the same, as in the SPDX matching guidelines.
 SPELLINGS = (("licence", "license"), ("favour", "favor"), ("merchantability and", "merchantability or"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("organisation", "organization"), ("initialise", "initialize"), ("judgement", "judgment"), ("whilst", "while"), ("wilful", "willful"), ("gnu gpl", "gnu general public license"))
-#: Notices of well-known licences, and the short ones in full.
+#: Notices of well-known licences; their full texts are files in licences/.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"),
@@ -39,9 +44,29 @@ KNOWN = (
 )
 
 
+#: Titles that stand before a licence's text or don't.
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License", "The ISC License"), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD")}
+#: Copyright lines of wrapped texts, where a line can begin with the word by chance.
+OWNER = "(?m)^[^a-z0-9\n]*(copyright[ \t]*(\\(c\\)|©|[0-9<\\[{]|by )|\\(c\\)[ \t]*([0-9<\\[]|copyright)|©|all rights reserved)[^\n]*$"
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in licences/, with numbered clauses and without numbers."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if path.stem.startswith("BSD"):
+            out.append((path.stem, re.sub(r"(?m)^\d\. ", "", text)))
+    return out
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty if nothing is left."""
-    out = F.regexp_replace(F.lower(text), "(?m)^[^a-z0-9\n]*(copyright|\\(c\\)|©)[^\n]*$", "")
+    return _letters(F.regexp_replace(F.lower(text), "(?m)^[^a-z0-9\n]*(copyright|\\(c\\)|©)[^\n]*$", ""))
+
+
+def _letters(out: Column) -> Column:
     out = F.trim(F.regexp_replace(out, "[^\\p{L}\\p{N}]+", " "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
@@ -54,14 +79,58 @@ def known_licences(spark: SparkSession, licences: tuple[tuple[str, str], ...] =
     return rows.select("licence", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
+def _blocks(text: Column) -> Column:
+    """The blocks of a text that have letters or digits: canonical form with line breaks folded, whether there were any."""
+    bare = F.regexp_replace(F.lower(text), OWNER, "")
+    parts = F.transform(F.split(bare, "\n[ \t\r\f]*(?=\n)"), lambda b: F.struct(_letters(b).alias("f"), F.contains(F.trim(b, F.lit(" \t\r\n\f")), F.lit("\n")).alias("wrapped")))
+    return F.filter(parts, lambda p: p["f"] != "")
+
+
+def known_blocks(spark: SparkSession, licences: tuple[tuple[str, str], ...] = KNOWN) -> tuple[dict[str, str], list[tuple[str, list[str]]]]:
+    """(licences by digest of the folded text, with titles or not; licences with the digests of their blocks)."""
+    full = full_texts()
+    titled = full + [(name, f"{title}\n\n{text}") for name, text in full for title in TITLES.get(name, ())]
+    fold = lambda rows: spark.createDataFrame(rows, "licence string, text string").select("licence", _blocks(F.col("text"))["f"].alias("f"))
+    whole = fold([*licences, *titled]).select("licence", F.sha2(F.array_join("f", " "), 256)).collect()
+    parts = fold([*licences, *full]).select("licence", F.transform("f", lambda x: F.sha2(x, 256))).distinct().collect()
+    return {digest: licence for licence, digest in sorted(map(tuple, whole), reverse=True)}, [(licence, digests) for licence, digests in parts]
+
+
+def _wrapped(texts: DataFrame, parts: list[tuple[str, list[str]]]) -> DataFrame:
+    """doc_id, licence: notices that take several lines, as runs of blocks."""
+    known = texts.sparkSession.createDataFrame([(d[0], licence, d) for licence, d in parts], "first string, licence string, digests array<string>")
+    firsts = sorted({d[0] for _, d in parts})
+    begun = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform("blocks", lambda b: F.struct(F.sha2(b["f"], 256).alias("d"), b["wrapped"].alias("wrapped"))).alias("blocks"))
+    begun = begun.filter(F.exists("blocks", lambda b: b["d"].isin(firsts)))
+    at = begun.select("doc_id", "row", F.col("blocks.d").alias("ds"), F.posexplode("blocks").alias("at", "b")).join(F.broadcast(known), F.col("b.d") == F.col("first"))
+    n = F.size("digests")
+    # a block of one line is looked up as a line
+    same = (F.slice("ds", F.col("at") + 1, n) == F.col("digests")) & ((n > 1) | F.col("b.wrapped"))
+    # of runs that begin at one block the longest counts
+    longest = at.filter(same).groupBy("doc_id", "row", "at").agg(F.max(F.struct(n.alias("n"), "licence"))["licence"].alias("licence"))
+    return longest.select("doc_id", "licence")
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_sha256 (of the canonical text), text_licence, n_notices, notices (names, sorted)."""
+    """One row per document: doc_id, text_sha256 (of the canonical text), text_licence, n_notices, notices (names, sorted).
+
+    If known is given, only its digests are looked up: of whole documents and lines.
+    """
+    wholes, parts = known_blocks(docs.sparkSession) if known is None else ({}, [])
     known = known_licences(docs.sparkSession) if known is None else known
     if known.count() <= FEW:
         known = F.broadcast(known)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     lines = texts.select("doc_id", F.explode(F.split("t", "\n")).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    found = lines.join(known, "digest").groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
-    whole = texts.select("doc_id", F.sha2(canonical(F.col("t")), 256).alias("digest")).join(known, "digest", "left")
+    hits = lines.join(known, "digest").select("doc_id", "licence")
+    if parts:
+        texts = texts.withColumn("blocks", _blocks(F.col("t")))
+        hits = hits.unionByName(_wrapped(texts, parts))
+    found = hits.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
+    folded = F.sha2(F.array_join("blocks.f", " "), 256) if parts else F.lit(None).cast("string")
+    whole = texts.select("doc_id", F.sha2(canonical(F.col("t")), 256).alias("digest"), folded.alias("folded")).join(known, "digest", "left")
+    if parts:
+        by_fold = docs.sparkSession.createDataFrame(list(wholes.items()), "folded string, full string")
+        whole = whole.join(F.broadcast(by_fold), "folded", "left").withColumn("licence", F.coalesce("licence", "full"))
     out = whole.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     return out.select("a.doc_id", F.col("digest").alias("text_sha256"), F.col("licence").alias("text_licence"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))

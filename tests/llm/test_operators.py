@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -239,6 +240,25 @@ def test_license_scan(spark, docs, empty):
     assert ls.license_scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_files(spark):
+    full = {}
+    for name, text in ls.full_texts():
+        full.setdefault(name, text)
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0"} <= set(full)
+    head = {"MIT": "MIT License\n\nCopyright (c) 2020 Someone\n\n", "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n", "ISC": "Copyright 2001 Y\n\n"}
+    fill = lambda t, n: "\n\n".join("\n".join(textwrap.wrap(p, n)) for p in re.split(r"\n\s*\n", t))
+    short = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD"]
+    rows = [(f"{name} {n}", head.get(name, "") + fill(full[name], n)) for name in short for n in (40, 72, 78)]
+    rows += [(name, text) for name, text in full.items() if name not in short]
+    pages = [(f"page {name}", f"Some prose.\n\n{fill(full[name], 70)}\n\nMore prose.") for name in short]
+    notice = [("wrapped", "Prose.\n\n  Licensed under the\n  Apache License, Version 2.0.\n\nMore.")]
+    got = {r["doc_id"]: r for r in ls.license_scan(spark.createDataFrame(rows + pages + notice, "doc_id string, text string")).collect()}
+    assert {i: got[i]["text_licence"] for i, _ in rows} == {i: i.split()[0] for i, _ in rows}
+    for i, _ in pages:
+        assert (got[i]["text_licence"], got[i]["notices"], got[i]["n_notices"]) == (None, i.split()[1], 1)
+    assert (got["wrapped"]["notices"], got["wrapped"]["n_notices"]) == ("Apache-2.0", 1)
+
+
 def test_site_quality(spark, docs, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     r = sq.site_quality(d, labels).join(labels, "doc_id").collect()
