@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles; its sketch, the K smallest of their hashes. Documents of one and the same
 word sequence are one class from the start. The retained values make inverted lists. Two sets at the least similarity
-share at least OVERLAP values (with sets no larger than K this is certain, else but for 3e-10), so they share one of the
-rarest K - OVERLAP + 1 that each has, and only those are listed; texts without a relative drop out here. Each list
+share at least overlap(percent) values (with sets no larger than K this is certain, else but for odds of ODDS at most), so
+they share one of the rarest K - overlap + 1 that each has, and only those are listed; texts without a relative drop out here. Each list
 goes to its most central member, whose values are the most frequent: the lists of one centre make one group. In a group,
 sketches of unions estimate similarity; what passes is read again, and full sets of 64-bit hashes decide exactly. A group links its members
 by a spanning set of exact links, found by comparing all that are not yet joined: no pair of different classes is left
@@ -26,18 +26,34 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, components, join_counted, numbered, runs, small_batches, spread, staged, texts_of, windows_hash
 
-#: Retained values; the least that two similar sketches share, as P(Binomial(48, 0.85) < 23) = 3e-10.
-K, OVERLAP = 48, 23
+#: Retained values; the odds at most that a pair at the threshold shares too few of them: 3e-10 at 85 percent, 2e-10 at 80.
+K, ODDS = 48, 1e-9
 #: Members and shingles of a block; two blocks meet in a task.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
 
+def overlap(percent: int) -> int:
+    """The least that the sketches of similar large sets share, but for ODDS: P(Binomial(K, percent / 100) < overlap)."""
+    p, tail = percent / 100, 0.0
+    for n in range(K + 1):
+        tail += math.comb(K, n) * p**n * (1 - p) ** (K - n)
+        if tail > ODDS:
+            break
+    if n < 1:
+        raise ValueError(f"sketches of {K} values can't find pairs of {percent} percent but for odds of {ODDS}")
+    return n
+
+
+#: At the 85 percent of the registered query.
+OVERLAP = overlap(85)
+
+
 def least_overlap(n: int, percent: int) -> int:
     """Values that the sketch of a set of n shares at least with that of any set of percent similarity."""
     if n > K:
-        return OVERLAP
+        return overlap(percent)
     most = n * 100 // percent
-    return min([OVERLAP if m > K and n > K * percent // 100 else math.ceil(percent * m / 100) - max(0, m - K) for m in range(n, max(n, most) + 1)])
+    return min([overlap(percent) if m > K and n > K * percent // 100 else math.ceil(percent * m / 100) - max(0, m - K) for m in range(n, max(n, most) + 1)])
 
 
 def shingle_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
@@ -113,13 +129,13 @@ def spanning_links(sets: list[np.ndarray], sizes: np.ndarray, similar) -> list[t
     return links
 
 
-def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of each group, the members that some other member's sketch resembles, with the part of the group they are in."""
     for (centre, i, j), rows in runs(batches, 3):
         sets = [np.sort(np.array(r[2], np.int64).view(np.uint64)) for r in rows]
 
         def similar(a: int, others: np.ndarray, shared: np.ndarray, sets: list[np.ndarray] = sets) -> np.ndarray:
-            return np.array([s > 0 and union_estimate(sets[a], sets[b]) >= OVERLAP / K for b, s in zip(others.tolist(), shared.tolist(), strict=True)])
+            return np.array([s > 0 and union_estimate(sets[a], sets[b]) >= least / K for b, s in zip(others.tolist(), shared.tolist(), strict=True)])
 
         part = np.arange(len(rows))
         for a, b in spanning_links(sets, np.array([r[1] for r in rows]), similar):
@@ -131,11 +147,12 @@ def _screened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(docs: DataFrame, classes: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links a, b between classes (doc_id of the first of each) that span all components of similar ones."""
+    least = overlap(percent)
     total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
     values = classes.select("doc_id", F.explode("sketch").alias("value"))
     often = values.groupBy("value").agg(F.count("*").alias("n")).filter("n > 1").withColumn("freq", F.col("n"))
     shared = join_counted(values, often, ["value"], "n", total).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("freq", "value"))).alias("shared"), F.sum("freq").alias("fame"))
-    reach = F.array(*[F.lit(n - least_overlap(n, percent) + 1 if n <= K else K - OVERLAP + 1) for n in range(1, K + 2)])
+    reach = F.array(*[F.lit(n - least_overlap(n, percent) + 1 if n <= K else K - least + 1) for n in range(1, K + 2)])
     sized = shared.join(classes.select("doc_id", "n", F.size("sketch").alias("kept")), "doc_id")
     # values of no other document come first in the order; what they leave of the prefix is listed
     listed = F.element_at(reach, F.least(F.col("n"), F.lit(K + 1)).cast("int")) - (F.col("kept") - F.size("shared"))
@@ -150,7 +167,7 @@ def near_links(docs: DataFrame, classes: DataFrame, percent: int = 85, width: in
     met = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("centre", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "doc_id", "size")
     key = ["centre", "i", "j"]
     with_sketch = spread(met.join(classes.select("doc_id", "sketch"), "doc_id").select(*key, "doc_id", "size", "sketch"), n_groups, *key).sortWithinPartitions(*key, "doc_id")
-    passed = staged(with_sketch.mapInArrow(_screened, "centre long, i int, j int, part int, doc_id long"), "passed")
+    passed = staged(with_sketch.mapInArrow(lambda batches: _screened(batches, least), "centre long, i int, j int, part int, doc_id long"), "passed")
 
     small_batches(docs.sparkSession, 500)
     key = [*key, "part"]

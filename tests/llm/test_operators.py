@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -168,6 +169,15 @@ def test_minhash_dedup(docs, empty, monkeypatch, block):
     assert md.without_near_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("percent", [40, 50, 60, 80, 85, 100])
+def test_overlap_follows_percent(percent):
+    tail = sum(math.comb(md.K, i) * (percent / 100) ** i * (1 - percent / 100) ** (md.K - i) for i in range(md.overlap(percent)))
+    assert tail <= 1e-9
+    assert md.overlap(85) == 23
+    with pytest.raises(ValueError):
+        md.overlap(20)
+
+
 def test_small_sets_always_share_listed_values():
     for n in range(1, md.K + 1):
         assert 1 <= md.least_overlap(n, 85) <= n
