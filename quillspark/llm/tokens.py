@@ -10,6 +10,7 @@ import functools
 import itertools
 import json
 import os
+import unicodedata
 
 import numpy as np
 
@@ -33,11 +34,16 @@ class _Index(dict):
         return n
 
 
+def _ends_in_letter(core: bytes) -> bool:
+    """Whether the last character is a letter when normalised too: some lower-case or composed forms end in a mark, which joins punctuation."""
+    return unicodedata.normalize("NFC", core.decode("utf-8", "replace")).lower()[-1].isalpha()
+
+
 class Encoder:
     """A tokenizer file of the tokenizers library, over UTF-8 texts.
 
     A word is a core and the punctuation that ends it; the ids of cores are what is remembered. At most about most_words
-    words and as many cores stay in memory.
+    words and as many cores stay in memory: the words met once since the last look go first, then those met least.
     """
 
     def __init__(self, path: str, most_words: int = 400_000):
@@ -53,7 +59,7 @@ class Encoder:
         digit = self._ids(["7"])[0]
         # a word of this one id can stand between others, in texts that have no 7
         self.bar = digit[0] if len(digit) == 1 else None
-        self.words, self.cores = _Index(), _Index()
+        self.words, self.cores, self.met = _Index(), _Index(), np.zeros(0, np.int64)
         self.core_of, self.end_of = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.cores[b""]
@@ -66,7 +72,7 @@ class Encoder:
         core_of, end_of = [], []
         for w in self.words.new:
             core = w.rstrip(PUNCTUATION)
-            if core and core != w and (core[-1:].isalnum() or core[-1] > 127 and core.decode("utf-8", "replace")[-1].isalpha()) and b"<|" not in w:
+            if core and core != w and (core[-1:].isalnum() or core[-1] > 127 and _ends_in_letter(core)) and b"<|" not in w:
                 core_of.append(self.cores[core])
                 end_of.append(self.cores[w[len(core) :]])
             else:
@@ -94,15 +100,22 @@ class Encoder:
         self.flat = np.concatenate([self.flat, np.delete(ids, bars), np.fromiter(itertools.chain.from_iterable(rest), np.uint32)])
 
     def _trim(self) -> None:
-        """Keeps the words met first, which the frequent ones are among."""
-        if max(len(self.words), len(self.cores)) > self.most:
-            keep = self.most // 2
-            self.words = _Index(itertools.islice(self.words.items(), keep))
-            self.core_of, self.end_of = self.core_of[:keep], self.end_of[:keep]
-            cores = int(max(self.core_of.max(), self.end_of.max())) + 1
-            self.cores = _Index(itertools.islice(self.cores.items(), cores))
-            self.starts, self.lengths = self.starts[:cores], self.lengths[:cores]
-            self.flat = self.flat[: (self.starts + self.lengths).max()]
+        """Forgets words met once, and then the rarest, until half is free."""
+        if max(len(self.words), len(self.cores)) <= self.most:
+            return
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[: self.most // 2]])
+        names = list(self.words)
+        self.words = _Index(zip([names[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        # the empty core is number 0
+        used, at = np.unique(np.concatenate([[0], self.core_of[keep], self.end_of[keep]]), return_inverse=True)
+        self.core_of, self.end_of, self.met = at[1 : len(keep) + 1], at[len(keep) + 1 :], self.met[keep]
+        names = list(self.cores)
+        self.cores = _Index(zip([names[i] for i in used.tolist()], range(len(used)), strict=True))
+        starts, self.lengths = self.starts[used], self.lengths[used]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = self.flat[np.repeat(starts - self.starts, self.lengths) + np.arange(int(self.lengths.sum()))]
 
     def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts, each closed by end_id; where each text ends)."""
@@ -111,6 +124,7 @@ class Encoder:
         n = np.fromiter(map(len, words), np.int64, len(words))
         at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
         self._learn()
+        self.met = np.append(self.met, np.zeros(len(self.words) - len(self.met), np.int64)) + np.bincount(at, minlength=len(self.words))
         parts = np.empty(2 * len(at), np.int64)
         parts[::2], parts[1::2] = self.core_of[at], self.end_of[at]
         lengths = self.lengths[parts]
