@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,12 +25,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = option.get() if option.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,11 +44,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def product_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for what a caller is to keep: it outlives the session."""
+    return f"{shared_dir(spark)}/quill-products/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written here leaves no shuffle files behind: the written table takes their place."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -54,7 +54,7 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards(_docs(spark, sf_dir), tokenizer_path()).drop("path")
+    return token_shards(_docs(spark, sf_dir), tokenizer_path())
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
