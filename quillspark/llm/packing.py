@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread, staged, texts_of
+from .common import small_batches, spread, staged
 from .tokens import encoder
 
 PIECES = "doc_id long, row long, start long, length long, doc_tokens long, ids_crc32 long"
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for batch in batches:
-            flat, ends = encoder(tokenizer).encode(texts_of(batch.column(1)), end_id)
+            flat, ends = encoder(tokenizer).encode(batch.column(1), end_id)
             data, out, begin = flat.astype("<u4").tobytes(), [], 0
             view = memoryview(data)
             for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import product_path, shuffles_dropped, small_batches, staged, texts_of
+from .common import product_path, shuffles_dropped, small_batches, staged
 from .tokens import encoder
 
 ROUNDS = 4
@@ -69,7 +69,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, width: int, end_id:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat, ends = encoder(tokenizer).encode(texts_of(batch.column(1)), end_id)
+            flat, ends = encoder(tokenizer).encode(batch.column(1), end_id)
             if int(flat.max()) >= most:
                 raise ValueError(f"id {int(flat.max())} doesn't fit {width} bytes")
             counts = np.diff(ends, prepend=0)

@@ -13,6 +13,8 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 #: ASCII punctuation that may end a word; no apostrophe, which has rules of its own.
@@ -56,6 +58,8 @@ class Encoder:
             raise ValueError("this tokenizer doesn't drop white space")
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
         self.lower = "Lowercase" in json.dumps(kind["normalizer"])
+        self.byte_level = kind["model"]["type"] == "BPE" and (kind["pre_tokenizer"].get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel" and "\\p{L}]+" in json.dumps(split)
+        self.byte_level &= not (kind["pre_tokenizer"].get("pretokenizers") or [{}])[-1].get("add_prefix_space", True)
         digit = self._ids(["7"])[0]
         # a word of this one id can stand between others, in texts that have no 7
         self.bar = digit[0] if len(digit) == 1 else None
@@ -83,18 +87,20 @@ class Encoder:
         new, self.cores.new = [w.decode("utf-8", "replace") for w in self.cores.new], []
         if not new:
             return
-        easy = np.array([self.bar is not None and w != "" and w.isprintable() and "7" not in w and "<|" not in w for w in new])
-        plain = np.flatnonzero(easy).tolist()
+        # words of small letters alone go straight to the model, which is all that the tokenizer does with them
+        bare = np.array([self.byte_level and w.isascii() and w.isalpha() and w.islower() for w in new])
+        easy = np.array([self.bar is not None and w != "" and w.isprintable() and "7" not in w and "<|" not in w for w in new]) & ~bare
+        plain, small = np.flatnonzero(easy).tolist(), np.flatnonzero(bare).tolist()
         # many in one call, each followed by the bar, which none of them has
         ids = self._ids([" 7 ".join([*(new[i] for i in plain[at : at + 200]), ""]) for at in range(0, len(plain), 200)])
         ids = np.fromiter(itertools.chain.from_iterable(ids), np.uint32)
         bars = np.flatnonzero(ids == self.bar) if plain else np.zeros(0, np.int64)
-        other = np.flatnonzero(~easy).tolist()
-        rest = self._ids([new[i] for i in other])
+        other = np.flatnonzero(~(easy | bare)).tolist()
+        rest = [[t.id for t in self.tokenizer.model.tokenize(new[i])] for i in small] + self._ids([new[i] for i in other])
         lengths = np.zeros(len(new), np.int64)
         lengths[plain] = np.diff(bars, prepend=-1) - 1
-        lengths[other] = [len(x) for x in rest]
-        starts, order = np.zeros(len(new), np.int64), np.array(plain + other, np.int64)
+        lengths[small + other] = [len(x) for x in rest]
+        starts, order = np.zeros(len(new), np.int64), np.array(plain + small + other, np.int64)
         starts[order] = len(self.flat) + np.cumsum(lengths[order]) - lengths[order]
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.flat = np.concatenate([self.flat, np.delete(ids, bars), np.fromiter(itertools.chain.from_iterable(rest), np.uint32)])
@@ -117,20 +123,26 @@ class Encoder:
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = self.flat[np.repeat(starts - self.starts, self.lengths) + np.arange(int(self.lengths.sum()))]
 
-    def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(the ids of all texts, each closed by end_id; where each text ends)."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, each closed by end_id; where each text ends). Texts are strings or null."""
         self._trim()
-        words = [(t.lower() if self.lower and b"<|" not in t else t).split() if t else [] for t in texts]
-        n = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
+        texts = texts.fill_null("")
+        if self.lower:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        # a blank at either end leaves an empty word, which has no ids
+        split = pc.ascii_split_whitespace(texts)
+        n = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        found = split.flatten().dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(found.dictionary)], pa.int32()), found.dictionary.cast(pa.binary())), b"\n")[0].as_py().split(b"\n") if len(found) else []
+        at = np.fromiter(map(self.words.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
         self._learn()
         self.met = np.append(self.met, np.zeros(len(self.words) - len(self.met), np.int64)) + np.bincount(at, minlength=len(self.words))
         parts = np.empty(2 * len(at), np.int64)
         parts[::2], parts[1::2] = self.core_of[at], self.end_of[at]
         lengths = self.lengths[parts]
         token_ends = np.concatenate([[0], np.cumsum(lengths)])
-        ends = token_ends[2 * np.cumsum(n)] + np.arange(1, len(words) + 1)
-        out = np.full(int(token_ends[-1]) + len(words), end_id, np.uint32)
+        ends = token_ends[2 * np.cumsum(n)] + np.arange(1, len(n) + 1)
+        out = np.full(int(token_ends[-1]) + len(n), end_id, np.uint32)
         spots = np.ones(len(out), bool)
         spots[ends - 1] = False
         begin = np.repeat(self.starts[parts] - token_ends[:-1], lengths)

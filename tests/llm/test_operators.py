@@ -9,6 +9,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,7 +382,7 @@ def test_encoder_against_the_tokenizer(most_words):
     texts = ["\u0130K\u0130. T\u00dcRK\u0130YE \u0130Y\u0130, GEZ\u0130."] + ["".join(rng.choices(chars, k=rng.randint(0, 30))) for _ in range(6000)]
     for at in range(0, len(texts), 300):
         some = texts[at : at + 300]
-        flat, ends = own.encode([x.encode() for x in some], 1)
+        flat, ends = own.encode(pa.array(some), 1)
         for x, begin, end in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             assert flat[begin:end].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
 
