@@ -85,7 +85,7 @@ def quality_rules(max_lost: float = 0.4) -> str:
     def some(text: str, of: tuple[str, ...]) -> str:
         return "(" + " OR ".join(f"contains({text}, {_text(x)})" for x in of) + ")"
 
-    end = r"right(rtrim(regexp_replace(right(x, 8), '[\x09-\x0D]', ' ', 'g'), ' '), 1)"
+    end = r"right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 1)"
     fails = f"""(length(x) >= 20 AND NOT list_contains({_list(ENDS)}, {end})) OR (length(x) >= 8 AND NOT regexp_matches(x, '\\p{{Ll}}') AND regexp_matches(x, '\\p{{Lu}}'))
   OR {count("x", SEPARATORS)} >= 3 OR {count("x", SYMBOLS)} * 12 > length(x) OR {some("lower(x)", BOILERPLATE)}"""
     return f"""WITH {_numbered()}, q AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),

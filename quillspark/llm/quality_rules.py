@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import SPACES, WORD
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture; a line with one of them fails.
@@ -42,26 +42,29 @@ def _any(text: Column, of: tuple[str, ...]) -> Column:
     return reduce(Column.__or__, [text.contains(x) for x in of])
 
 
-def line_fails(line: Column, furniture: Column, marks: Column) -> Column:
-    """Whether a line is navigation, boilerplate, shouting, symbols, or doesn't end as prose does.
+def line_fails(line: Column, furniture: Column, marks: Column, phrases: tuple[str, ...] = BOILERPLATE) -> Column:
+    """Whether a line is navigation, boilerplate, shouting, symbols, or doesn't end as prose does, white space aside.
 
     furniture and marks: whether the document has a boilerplate phrase, a symbol or a separator at all.
     """
     return (
-        ((F.length(line) >= 20) & ~F.right(F.rtrim(F.regexp_replace(F.right(line, F.lit(8)), "[\\x09-\\x0D]", " ")), F.lit(1)).isin(*ENDS))
+        ((F.length(line) >= 20) & ~F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).isin(*ENDS))
         | ((F.length(line) >= 8) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}"))
         | (marks & ((_n(line, SEPARATORS) >= 3) | (_n(line, SYMBOLS) * 12 > F.length(line))))
-        | (furniture & _any(F.lower(line), BOILERPLATE))
+        | (furniture & _any(F.lower(line), phrases))
     )
 
 
-def quality_rules(docs: DataFrame, max_lost: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: base counts, the words that line rules remove, the cleaned text, and the verdict."""
+def quality_rules(docs: DataFrame, max_lost: float = 0.4, phrases: tuple[str, ...] = BOILERPLATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: base counts, the words that line rules remove, the cleaned text, and the verdict.
+
+    phrases: what makes a line boilerplate, in lower case; the default is English, other languages bring their own.
+    """
     at = lambda a, i: F.element_at(a, i)
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     df = df.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
-    df = df.withColumn("furniture", _any(F.lower("t"), BOILERPLATE)).withColumn("marks", _any(F.col("t"), tuple(SYMBOLS + SEPARATORS)))
-    df = df.withColumn("good", F.filter("lines", lambda x: ~line_fails(x, F.col("furniture"), F.col("marks"))))
+    df = df.withColumn("furniture", _any(F.lower("t"), phrases)).withColumn("marks", _any(F.col("t"), tuple(SYMBOLS + SEPARATORS)))
+    df = df.withColumn("good", F.filter("lines", lambda x: ~line_fails(x, F.col("furniture"), F.col("marks"), phrases)))
     df = df.withColumn("w", _words(F.col("t")))
     df = df.withColumn("n_words", F.size("w").cast("long"))
     # (hash of three words, position) in order: equal windows stand side by side

@@ -1,17 +1,19 @@
 """Removal of passages that an earlier document has, by super-k-mer partitioning.
 
 A window is a number of consecutive words of one document. Consecutive windows that share a minimiser, the least hash of the short runs of
-words in them, form a super-k-mer. Equal windows have equal minimisers, so a minimiser is a bucket to compare within.
+words in them, form a super-k-mer. Equal windows have equal minimisers, so a minimiser is a bucket to compare within; that two
+minimisers can have one hash only makes a bucket larger.
 
-First only the names of super-k-mers travel: minimiser, a hash of the content, place. Minimisers of a single document drop
-out there. Among the rest, a super-k-mer whose content stands in an earlier document goes altogether. What is left to
-compare are first occurrences of different contents under one minimiser: those travel as packed strings to their bucket, where
-their windows are sorted, and equal ones stand side by side. Buckets of more than HOT_BUCKET strings are split by window instead,
-under a 128-bit hash, and summed up before they are shuffled.
+First only the names of super-k-mers travel: minimiser, SHA-256 of the words, place. Minimisers of a single document drop
+out there. Equal super-k-mers, as copies have them, are summed up before they travel: all but those of the first document go altogether.
+What is left to compare are first occurrences of different contents under one minimiser: those travel as packed strings to their
+bucket, where their windows are sorted, and equal ones stand side by side, byte for byte. Buckets of more than HOT_BUCKET
+strings are split by window instead, under its SHA-256, and summed up before they are shuffled. No decision rests on a shorter hash.
 
 Null and empty texts have no words. Documents shorter than a window lose nothing. A document is never compared with rows
 of its own doc_id; rows without doc_id lose nothing and take from none. Rows are told apart by doc_id and text, and
-repeated rows are treated alike. An empty table gives an empty result.
+repeated rows are treated alike. Columns besides id and text are ignored, whatever their names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -21,21 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, join_counted, mix, runs, small_batches, spread, staged, texts_of, windows_hash
+from .common import WordHashes, join_counted, runs, small_batches, spread, staged, texts_of, windows_hash
 
 #: Words of the runs that minimisers are chosen from, and the strings of a bucket that one task sorts at most.
 MINIMISER, HOT_BUCKET = 10, 2000
+#: More hot buckets than this are joined by shuffle.
+HOT_BROADCAST = 100_000
 
 
-def super_kmers(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser, content hash, first word, windows) of each super-k-mer of a document's word hashes."""
+def super_kmers(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser, first word, windows) of each super-k-mer of a document's word hashes."""
     n = len(words) - k + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 4
+        return (np.empty(0, np.int64),) * 3
     short = windows_hash(words, m, seed=2)
     span = k - m + 1
     # sliding minimum: blocks of span, running minima from both sides
@@ -48,33 +51,32 @@ def super_kmers(words: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarr
     least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.append(start, n))
-    # a hash of all words of the stretch: a difference of running sums of a polynomial, moved to a common place
-    with np.errstate(over="ignore"):
-        base = np.uint64(0x9E3779B97F4A7C15)
-        power = np.cumprod(np.full(len(words) + 1, base, np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(words) * power[:-1])])
-        content = (sums[start + count + k - 1] - sums[start]) * power[len(words) - start]
-        content = mix(content ^ (count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return least[start].view(np.int64), content.view(np.int64), start, count
+    return least[start].view(np.int64), start, count
 
 
 def named(docs: DataFrame, k: int, m: int) -> DataFrame:
     """Of each row: doc_id, text hash, number of words, SHA-256 of the words, and its super-k-mers as arrays."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, sha256 = WordHashes(), hashlib.sha256
         for batch in batches:
-            n_words, sha, parts = [], [], []
+            n_words, sha, parts, contents = [], [], [], []
             for t in texts_of(batch.column(2)):
                 words = (t or b"").split()
+                joined = b" ".join(words)
                 n_words.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                parts.append(super_kmers(hashes.of(words), k, m))
+                sha.append(sha256(joined).hexdigest())
+                mini, start, count = super_kmers(hashes.of(words), k, m)
+                parts.append((mini, start, count))
+                # where each word begins in the joined text, and one past its end
+                begin = np.cumsum([0, *(len(w) + 1 for w in words)]) if len(start) else np.zeros(1, np.int64)
+                contents += [sha256(joined[a:b]).digest() for a, b in zip(begin[start].tolist(), (begin[start + count + k - 1] - 1).tolist(), strict=True)] if len(start) else []
             offsets = pa.array(np.cumsum([0, *(len(p[0]) for p in parts)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[i] for p in parts] or [np.empty(0)]).astype(t))) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[i] for p in parts] or [np.empty(0)]).astype(t))) for i, t in enumerate((np.int64, np.int32, np.int32))]
+            lists.insert(1, pa.ListArray.from_arrays(offsets, pa.array(contents, pa.binary())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), *lists], names)
 
-    schema = "doc_id long, th long, n_words long, sha string, mini array<long>, content array<long>, start array<int>, n array<int>"
+    schema = "doc_id long, th long, n_words long, sha string, mini array<long>, content array<binary>, start array<int>, n array<int>"
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.mapInArrow(name, schema)
 
@@ -103,12 +105,12 @@ def _sorted_windows(k: int):
 
 
 def _split_windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Each window of the strings under its own 128-bit hash."""
+    """Each window of the strings under its own SHA-256."""
     for batch in batches:
         out = []
         for doc, th, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = packed.split()
-            out += [(xxhash.xxh3_128_digest(b" ".join(words[j : j + k])), doc, th, start + j) for j in range(len(words) - k + 1)]
+            out += [(hashlib.sha256(b" ".join(words[j : j + k])).digest(), doc, th, start + j) for j in range(len(words) - k + 1)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["w", "doc_id", "th", "at"])
 
@@ -145,7 +147,9 @@ def substring_dedup(docs: DataFrame, k: int = 50, m: int = MINIMISER, hot_bucket
     strings = staged(own.mapInArrow(packed, "mini long, doc_id long, th long, start int, packed binary"), "packed")
     per = strings.groupBy("mini").agg(F.count("*").alias("c")).filter("c > 1")
     n_strings = strings.count()
-    hot = F.broadcast(per.filter(F.col("c") > max(hot_bucket, n_strings // 100_000)).select("mini"))  # at most 100,000 of them
+    hot = staged(per.filter(F.col("c") > hot_bucket).select("mini"), "hot")
+    if hot.count() <= HOT_BROADCAST:
+        hot = F.broadcast(hot)
     cold = spread(strings.join(hot, "mini", "left_anti"), max(1, n_strings // 100), "mini").sortWithinPartitions("mini")
     found = cold.mapInArrow(_sorted_windows(k), "doc_id long, th long, at int")
     windows = staged(strings.join(hot, "mini", "left_semi").select(*row, "start", "packed").mapInArrow(lambda b: _split_windows(b, k), "w binary, doc_id long, th long, at int"), "hot-windows")

@@ -23,6 +23,7 @@ from quillspark.llm import site_quality as sq
 from quillspark.llm import source_mix as sm
 from quillspark.llm import substring_dedup as sd
 from quillspark.llm import token_shards as ts
+from quillspark.llm.common import WordHashes, windows_hash
 from quillspark.llm.queries import tokenizer_path
 
 # columns named like those that operators make
@@ -108,6 +109,16 @@ def test_line_rules(spark):
     assert got[1]["n_lost_words"] == 3 * sum(len(b.split()) for b in bad)
 
 
+def test_white_space_at_line_ends(spark):
+    rng = random.Random(4)
+    lines = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(11)) + "." for _ in range(9)]
+    ends = ["", " " * 9, "\t" * 12, "\r", " \t\x0b\x0c\r " * 5]
+    rows = [(i, "\n".join(x + e for x in lines)) for i, e in enumerate(ends)] + [(9, "\n".join(x[:-1] + " " * 20 for x in lines))]
+    got = {r["doc_id"]: r for r in qr.quality_rules(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[i]["kept"] for i in (0, 1, 2, 3, 4, 9)] == [True] * 5 + [False]
+    assert qr.quality_rules(spark.createDataFrame([(0, "Bitte alle Cookies annehmen, und dann geht es weiter.")], "doc_id int, text string"), phrases=("alle cookies",)).first()["n_lost_words"] == 9
+
+
 def test_exact_dedup(docs, empty):
     groups = collections.defaultdict(list)
     for i, t, *_ in corpus():
@@ -207,6 +218,20 @@ def test_substring_dedup(docs, empty, hot):
     assert again.count() == len(rows) + 2
 
 
+@pytest.mark.parametrize("hot", [2000, 0])
+def test_contents_of_equal_power_sums(spark, hot):
+    """One super-k-mer a document: blocks by Thue-Morse parity against their complement, whose sums over powers of any odd base agree modulo 2^64."""
+    hashes = WordHashes()
+    least = min(([f"{s}m{i}".encode() for i in range(10)] for s in range(30_000)), key=lambda w: int(windows_hash(hashes.of(w), 10, seed=2)[0]))
+    text = lambda flip: b" ".join(b" ".join([*least, b"xx" if (bin(i).count("1") + flip) % 2 else b"yy", b"u%d" % i]) for i in range(512))
+    a, b = text(0).split(), text(1).split()
+    assert len(sd.super_kmers(hashes.of(a), 50, 10)[0]) == 1
+    windows = lambda t: {tuple(t[j : j + 50]) for j in range(len(t) - 49)}
+    assert not windows(a) & windows(b)
+    d = spark.createDataFrame([(1, text(0).decode()), (2, text(1).decode()), (3, text(0).decode() + " end")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in sd.substring_dedup(d, hot_bucket=hot).collect()} == {1: 0, 2: 0, 3: len(a)}
+
+
 def test_language_id(spark, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, "en"), (10**6 + 1, "12 !", "de"), (10**6 + 2, "", None)], "doc_id long, text string, lang string")
