@@ -4,9 +4,10 @@ For each language, a suffix automaton holds a bounded sample of labelled text. A
 a phrase begins, the automaton gives the longest match in that language's sample, then the next phrase begins. The cost
 of a language is its phrases a character times the log of its sample's length; the lowest cost wins.
 
-Texts are lower case letters and single blanks; everything else counts as a blank. Many stretches are parsed side by side,
-a character of each at a step; a stretch is at most STRETCH characters, so whole texts of any length are parsed in bounded
-memory. Null texts and texts without letters are `und` with score 0, as is every text if nothing is labelled. Ties go to
+Texts are lower case letters and single blanks; everything else counts as a blank. Stretches of STRETCH characters are parsed side
+by side, a character of each at a step, as if a phrase began with each. Then the parse is put together over the ends: from the
+state in which the stretch before really ends, a stretch is parsed anew until both parses are in one state, from where on they are the same. So the
+phrases are those of the whole text, whatever its length. Null texts and texts without letters are `und` with score 0, as is every text if nothing is labelled. Ties go to
 the first language by name. Repeated rows are judged one by one; lang, source and doc_id are no inputs of a prediction.
 """
 
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Characters of labelled text in all languages together, and in each at most: the bound of the fit.
-TOTAL_CHARS, LANGUAGE_CHARS, ROW_CHARS = 1_200_000, 60_000, 4_000
 #: Columns of the table of transitions. Every character of a sample has a code; those past the columns, the rarest, have
 #: their transitions in a sorted list. The last code is that of all characters which no sample has.
 ALPHABET = 60
+#: Bytes of the table at most, which every worker holds, whatever the number of languages.
+MODEL_BYTES = 256 << 20
+#: Characters of labelled text in each language and of a row at most, and in all languages together: the bound of the fit.
+#: An automaton has at most two states a character, and a state ALPHABET numbers of four bytes.
+LANGUAGE_CHARS, ROW_CHARS, TOTAL_CHARS = 60_000, 4_000, MODEL_BYTES // (2 * 4 * ALPHABET)
 STRETCH = 1024
 
 
@@ -145,40 +149,77 @@ class Model:
             now[at] = np.where(self.rare_keys[place] == key, self.rare_next[place], -1)
         return now
 
-    def phrases(self, stretches: list[np.ndarray]) -> np.ndarray:
-        """Phrases that each language needs for each stretch: an array of stretches by languages."""
-        order = sorted(range(len(stretches)), key=lambda i: -len(stretches[i]))
-        sizes = np.array([len(stretches[i]) for i in order])
-        grid = np.zeros((max(1, int(sizes.max(initial=0))), len(order)), np.int32)
-        for j, i in enumerate(order):
-            grid[: sizes[j], j] = stretches[i]
-        n_langs = len(self.langs)
-        roots = np.repeat(self.roots[:, None], len(order), 1)
-        state, count = roots.copy(), np.zeros((n_langs, len(order)), np.int32)
+    def advance(self, state: np.ndarray, count: np.ndarray, c: np.ndarray) -> None:
+        """One character further, in place: the states of languages by stretches, and the phrases that have ended."""
+        now = self.follow(state, c)
+        rows, cols = np.nonzero(now < 0)
+        if len(rows):  # a phrase ends here, and the next begins with this character
+            again = self.follow(self.roots[rows], c[cols])
+            # the phrase that was under way, and this character alone if the sample hasn't got it
+            count[rows, cols] += (state[rows, cols] != self.roots[rows]).astype(np.int32) + (again < 0)
+            now[rows, cols] = np.where(again < 0, self.roots[rows], again)
+        state[:] = now
+
+    def corrected(self, grid: np.ndarray, sizes: np.ndarray, enter: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases more than if a phrase began with the stretch, end states) of stretches entered in these states.
+
+        grid: a column a stretch, of these sizes; ends: the states in which the parses from the root end.
+        """
+        more, out = np.zeros(enter.shape, np.int32), ends.copy()
+        roots = np.repeat(self.roots[:, None], len(sizes), 1)
+        at = np.flatnonzero((enter != roots).any(0))
+        mine, other, step = enter[:, at], roots[:, at], 0
+        mine_n, other_n = np.zeros(mine.shape, np.int32), np.zeros(mine.shape, np.int32)
+        while len(at):
+            live = (mine != other).any(0) & (sizes[at] > step)
+            if not live.all():
+                gone = ~live
+                more[:, at[gone]] = mine_n[:, gone] - other_n[:, gone]
+                out[:, at[gone]] = np.where(mine[:, gone] == other[:, gone], out[:, at[gone]], mine[:, gone])
+                at, mine, other, mine_n, other_n = at[live], mine[:, live], other[:, live], mine_n[:, live], other_n[:, live]
+                if not len(at):
+                    break
+            c = grid[step, at]
+            self.advance(mine, mine_n, c)
+            self.advance(other, other_n, c)
+            step += 1
+        return more, out
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases that each language needs for each text: an array of texts by languages."""
+        stretches = [(i, k, t[at : at + STRETCH]) for i, t in enumerate(texts) for k, at in enumerate(range(0, len(t), STRETCH))]
+        stretches.sort(key=lambda x: -len(x[2]))
+        n_langs, n = len(self.langs), len(stretches)
+        sizes = np.array([len(x[2]) for x in stretches], np.int64)
+        grid = np.zeros((max(1, int(sizes.max(initial=0))), n), np.int32)
+        for j, x in enumerate(stretches):
+            grid[: sizes[j], j] = x[2]
+        roots = np.repeat(self.roots[:, None], n, 1)
+        state, count = roots.copy(), np.zeros((n_langs, n), np.int32)
         alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # how many have a character at this step
-        for step, n in enumerate(alive.tolist()):
-            c = grid[step, :n]
-            now = self.follow(state[:, :n], c)
-            stuck = now < 0
-            rows, cols = np.nonzero(stuck)
-            if len(rows):  # a phrase ends here, and the next begins with this character
-                again = self.follow(self.roots[rows], c[cols])
-                # the phrase that was under way, and this character alone if the sample hasn't got it
-                count[rows, cols] += (state[rows, cols] != self.roots[rows]).astype(np.int32) + (again < 0)
-                now[rows, cols] = np.where(again < 0, self.roots[rows], again)
-            state[:, :n] = now
-        count += state != roots  # the phrase that the end cuts off
-        out = np.empty((len(order), n_langs), np.int64)
-        out[order] = count.T
+        for step, m in enumerate(alive.tolist()):
+            self.advance(state[:, :m], count[:, :m], grid[step, :m])
+        place = {(i, k): j for j, (i, k, _) in enumerate(stretches)}
+        later = np.array([j for j, (_, k, _) in enumerate(stretches) if k], np.int64)
+        before = np.array([place[i, k - 1] for i, k, _ in stretches if k], np.int64)
+        more, ends, entered = np.zeros_like(count), state.copy(), roots.copy()
+        todo = np.arange(len(later))
+        while len(todo):
+            j, b = later[todo], before[todo]
+            entered[:, j] = ends[:, b]
+            more[:, j], ends[:, j] = self.corrected(grid[:, j], sizes[j], ends[:, b], state[:, j])
+            # only a stretch whose parses never met changes what comes after it
+            todo = np.flatnonzero((entered[:, later] != ends[:, before]).any(0))
+        out = np.zeros((len(texts), n_langs), np.int64)
+        np.add.at(out, np.array([i for i, _, _ in stretches], np.int64), (count + more).T)
+        last = [place[i, (len(t) - 1) // STRETCH] for i, t in enumerate(texts) if len(t)]
+        # the phrase that the end cuts off
+        out[[i for i, t in enumerate(texts) if len(t)]] += (ends[:, last] != roots[:, last]).T
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [self.alphabet.encode(t) if t else (np.zeros(0, np.int32), False) for t in texts]
-        stretches = [c[at : at + STRETCH] for c, _ in codes for at in range(0, len(c), STRETCH)]
-        owner = np.array([i for i, (c, _) in enumerate(codes) for _ in range(0, len(c), STRETCH)], np.int64)
-        total = np.zeros((len(texts), len(self.langs)))
-        if len(stretches) and self.langs:
-            np.add.at(total, owner, self.phrases(stretches))
+        total = self.phrases([c for c, _ in codes]) if self.langs else np.zeros((len(texts), 0))
         langs, scores = [], []
         for (c, letters), phrases in zip(codes, total, strict=True):
             if not letters or not self.langs:

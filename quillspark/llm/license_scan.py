@@ -6,8 +6,12 @@ up are each whole document, with its line breaks folded too, each whole line, ea
 line breaks folded, and runs of blocks. So a full licence file is found however it is wrapped, and so are a wrapped
 notice in a page and a full licence there, if it is parted by blank lines as in the files under licences/.
 
-Null and empty texts have no licence. Repeated rows are scanned one by one; a repeated doc_id has the notices of all its rows. The known
-licences go by broadcast only if they are few, which is checked.
+Whole texts are hash-joined with the known digests, which go by broadcast only if they are few, as is checked. Lines and blocks are
+looked up within their row, so nothing but the known digests moves; they are made canonical only in texts that have one of
+the words without which none of the known texts can be there.
+
+Null and empty texts have no licence. Rows are scanned one by one, whether their doc_id is repeated or null. Other columns of the
+input are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: More known digests than this are joined by shuffle.
 FEW = 20_000
 #: Spellings that mean the same, as in the SPDX matching guidelines.
@@ -96,41 +102,79 @@ def known_blocks(spark: SparkSession, licences: tuple[tuple[str, str], ...] = KN
     return {digest: licence for licence, digest in sorted(map(tuple, whole), reverse=True)}, [(licence, digests) for licence, digests in parts]
 
 
-def _wrapped(texts: DataFrame, parts: list[tuple[str, list[str]]]) -> DataFrame:
-    """doc_id, licence: notices that take several lines, as runs of blocks."""
-    known = texts.sparkSession.createDataFrame([(d[0], licence, d) for licence, d in parts], "first string, licence string, digests array<string>")
+def anchors(texts: list[str]) -> list[str]:
+    """Strings one of which every lower-case text has that becomes one of these canonical texts.
+
+    A word of a canonical text stood in the text as it is, unless a spelling made it; all spellings of licence begin alike.
+    """
+    made = [w for _, b in SPELLINGS for w in b.split()]
+    out = set()
+    for t in texts:
+        safe = [w for w in t.split() if w.isascii() and not any(m in w or w in m for m in made)]
+        out.add("licen" if "licens" in t else max(safe, key=lambda w: (len(w), w), default=""))
+    return sorted(a for a in out if not any(b != a and b in a for b in out))
+
+
+def _line_notices(text: Column, known: dict[str, str]) -> Column:
+    """The licences of a text's lines, in order."""
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.element_at(names, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
+
+
+def _block_notices(blocks: Column, parts: list[tuple[str, list[str]]]) -> Column:
+    """The licences that stand as runs of blocks; of runs that begin at one block the longest counts."""
+    order = sorted(parts, key=lambda x: (len(x[1]), x[0]), reverse=True)
+    known = F.array(*[F.struct(F.lit(licence).alias("licence"), F.array(*[F.lit(d) for d in digests]).alias("ds")) for licence, digests in order])
     firsts = sorted({d[0] for _, d in parts})
-    begun = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform("blocks", lambda b: F.struct(F.sha2(b["f"], 256).alias("d"), b["wrapped"].alias("wrapped"))).alias("blocks"))
-    begun = begun.filter(F.exists("blocks", lambda b: b["d"].isin(firsts)))
-    at = begun.select("doc_id", "row", F.col("blocks.d").alias("ds"), F.posexplode("blocks").alias("at", "b")).join(F.broadcast(known), F.col("b.d") == F.col("first"))
-    n = F.size("digests")
-    # a block of one line is looked up as a line
-    same = (F.slice("ds", F.col("at") + 1, n) == F.col("digests")) & ((n > 1) | F.col("b.wrapped"))
-    # of runs that begin at one block the longest counts
-    longest = at.filter(same).groupBy("doc_id", "row", "at").agg(F.max(F.struct(n.alias("n"), "licence"))["licence"].alias("licence"))
-    return longest.select("doc_id", "licence")
+    rows = F.transform(blocks, lambda b: F.struct(F.sha2(b["f"], 256).alias("d"), b["wrapped"].alias("wrapped")))
+
+    def longest(rows: Column, b: Column, i: Column) -> Column:
+        # a block of one line is looked up as a line
+        here = F.filter(known, lambda k: (F.transform(F.slice(rows, i + 1, F.size(k["ds"])), lambda r: r["d"]) == k["ds"]) & ((F.size(k["ds"]) > 1) | b["wrapped"]))
+        return F.when(b["d"].isin(firsts), F.get(here, F.lit(0))["licence"])
+
+    # an array of one, so that the digests are made once
+    return F.filter(F.flatten(F.transform(F.array(rows), lambda r: F.transform(r, lambda b, i: longest(r, b, i)))), lambda x: x.isNotNull())
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_sha256 (of the canonical text), text_licence, n_notices, notices (names, sorted).
 
-    If known is given, only its digests are looked up: of whole documents and lines.
+    If known is given (digest, licence), only its digests are looked up: of whole documents and lines.
     """
-    wholes, parts = known_blocks(docs.sparkSession) if known is None else ({}, [])
-    known = known_licences(docs.sparkSession) if known is None else known
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    if known is not None:
+        return _scan_of(texts, known)
+    lines = {r["digest"]: r["licence"] for r in known_licences(spark).collect()}
+    wholes, parts = known_blocks(spark)
+    full = [(name, text) for name, text in full_texts()]
+    forms = [r[0] for r in spark.createDataFrame([*KNOWN, *full], "licence string, text string").select(F.array_join(_blocks(F.col("text"))["f"], " ")).distinct().collect()]
+    some = F.lit(False)
+    for a in anchors(forms):
+        some = some | F.contains(F.col("low"), F.lit(a))
+    rows = texts.withColumn("low", F.lower("t")).withColumn("some", some)
+    rows = rows.withColumn("blocks", F.when(F.col("some"), _blocks(F.col("t"))))
+    rows = rows.select(
+        "doc_id",
+        F.sha2(canonical(F.col("t")), 256).alias("digest"),
+        F.when(F.col("some"), F.sha2(F.array_join("blocks.f", " "), 256)).alias("folded"),
+        F.when(F.col("some"), F.concat(_line_notices(F.col("t"), lines), _block_notices(F.col("blocks"), parts))).otherwise(F.array().cast("array<string>")).alias("found"),
+    )
+    by_fold = spark.createDataFrame(list(wholes.items()), "folded string, full string")
+    by_digest = spark.createDataFrame(list(lines.items()), "digest string, licence string")
+    out = rows.join(F.broadcast(by_digest), "digest", "left").join(F.broadcast(by_fold), "folded", "left")
+    licence = F.coalesce("licence", "full")
+    return out.select("doc_id", F.col("digest").alias("text_sha256"), licence.alias("text_licence"), F.size("found").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"))
+
+
+def _scan_of(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The same for any number of known digests: lines are joined with them, and their finds with their rows."""
     if known.count() <= FEW:
         known = F.broadcast(known)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lines = texts.select("doc_id", F.explode(F.split("t", "\n")).alias("line")).select("doc_id", F.sha2(canonical(F.col("line")), 256).alias("digest"))
-    hits = lines.join(known, "digest").select("doc_id", "licence")
-    if parts:
-        texts = texts.withColumn("blocks", _blocks(F.col("t")))
-        hits = hits.unionByName(_wrapped(texts, parts))
-    found = hits.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
-    folded = F.sha2(F.array_join("blocks.f", " "), 256) if parts else F.lit(None).cast("string")
-    whole = texts.select("doc_id", F.sha2(canonical(F.col("t")), 256).alias("digest"), folded.alias("folded")).join(known, "digest", "left")
-    if parts:
-        by_fold = docs.sparkSession.createDataFrame(list(wholes.items()), "folded string, full string")
-        whole = whole.join(F.broadcast(by_fold), "folded", "left").withColumn("licence", F.coalesce("licence", "full"))
-    out = whole.alias("a").join(found.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
-    return out.select("a.doc_id", F.col("digest").alias("text_sha256"), F.col("licence").alias("text_licence"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    rows = staged(texts.withColumn("row", F.monotonically_increasing_id()), "licence-rows")
+    lines = rows.select("row", F.explode(F.split("t", "\n")).alias("line")).select("row", F.sha2(canonical(F.col("line")), 256).alias("digest"))
+    found = lines.join(known, "digest").groupBy("row").agg(F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"))
+    whole = rows.select("row", "doc_id", F.sha2(canonical(F.col("t")), 256).alias("digest")).join(known, "digest", "left")
+    out = whole.join(found, "row", "left")
+    return out.select("doc_id", F.col("digest").alias("text_sha256"), F.col("licence").alias("text_licence"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))

@@ -46,8 +46,8 @@ def license_scan() -> str:
 
     known = ", ".join(f"({_text(name)}, {_text(text)})" for name, text in KNOWN)
     return f"""WITH {_numbered()}, k AS (SELECT sha256({canonical("x")}) AS digest, min(n) AS licence FROM (VALUES {known}) v(n, x) GROUP BY 1),
- l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), f AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM l JOIN k ON digest = sha256({canonical("line")}) GROUP BY doc_id)
-SELECT d.doc_id, sha256({canonical("t")}) AS text_sha256, licence AS text_licence, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices FROM d LEFT JOIN k ON digest = sha256({canonical("t")}) LEFT JOIN f ON f.doc_id IS NOT DISTINCT FROM d.doc_id"""
+ l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d), f AS (SELECT r, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM l JOIN k ON digest = sha256({canonical("line")}) GROUP BY r)
+SELECT d.doc_id, sha256({canonical("t")}) AS text_sha256, licence AS text_licence, coalesce(n, 0) AS n_notices, coalesce(names, '') AS notices FROM d LEFT JOIN k ON digest = sha256({canonical("t")}) LEFT JOIN f USING (r)"""
 
 
 def substring_dedup() -> str:

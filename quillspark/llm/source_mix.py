@@ -2,12 +2,16 @@
 
 A document's expected number of copies is its source's target over its source's size, so at most max_repeat. The whole
 part is taken for certain; the fraction is an inclusion probability. Documents of one source move through the
-null-space of two constraints, tokens and documents: of any three undecided ones, probabilities shift so that both
-totals stay and one of the three is decided. Blocks of a source fly apart from each other; the few that each leaves
-undecided meet in further rounds, until a landing problem of at most LANDING + 2 units a source is left.
-
-Null texts have size 0; null is a source of its own, the last. A source without words has target 0. Repeated rows are
-units of their own. An empty table gives an empty result.
+null-space of two constraints, tokens and documents: the largest undecided one moves, all others of its block make up for it, and
+at each step at least one is decided. A step goes either way with the odds that keep every document's expectation, so inclusion
+probabilities hold. Blocks of a source fly apart from each other; the few that each leaves undecided, its smallest, meet in
+further rounds, until a landing problem of two or three units a source is left. There the documents' total is given up first:
+words are evened out between two, and the last is drawn by its probability, or, if it is more than DRAWN of its source's target,
+rounded, so that a source's words come near its target whatever its documents.
+
+Null texts have size 0; null is a source of its own, the last. A source without words has target 0. Repeated rows and rows
+without doc_id are units of their own. Columns besides id, text and source are ignored, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, join_counted, key_of, staged
+from .common import WORD, join_counted, key_of, numbered, staged
 
 #: Sources whose targets are worked out on the driver; more are ranked and filled on the cluster.
 DRIVER_SOURCES = 100_000
-#: Units besides the last undecided ones that the landing settles together.
-LANDING = 14
+#: The share of its source's target up to which a last undecided unit is drawn rather than rounded.
+DRAWN = 0.001
 EPS = 1e-9
 
 
@@ -59,47 +63,55 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return ranked.withColumn("target", F.least(F.col("source_size") * F.lit(float(cap)), F.col("w") * level)).drop("w")
 
 
-def _spread(size: np.ndarray, most: int) -> list[int]:
-    """Up to most units, from the largest down, each well below the one before: subsets of them reach almost any total."""
-    out: list[int] = []
-    for i, s in enumerate(size):
-        if len(out) < most and (not out or s <= 0.68 * size[out[-1]]):
-            out.append(i)
+def _direction(p: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+    """A move of the first unit by one that the others make up for, most those of most slack: both totals stay. None if they can't."""
+    weight = p[1:] * (1 - p[1:])
+    mean = weight @ size[1:] / weight.sum()
+    off = size[1:] - mean
+    spread = weight @ (off * off)
+    if spread <= 1e-9 * weight.sum():  # all others have one size
+        if abs(size[0] - mean) > 1e-6:
+            return None
+        return np.concatenate([[1.0], -weight / weight.sum()])
+    return np.concatenate([[1.0], -weight * (1 / weight.sum() + (size[0] - mean) / spread * off)])
+
+
+def _moved(p: np.ndarray, move: np.ndarray, draw: float) -> np.ndarray:
+    """p as far along move, or against it, as probabilities stay; which way, the draw decides so that p is the mean."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(move > 0, (1 - p) / move, np.where(move < 0, -p / move, np.inf))
+        down = np.where(move > 0, p / move, np.where(move < 0, (p - 1) / move, np.inf))
+    # what all but stands still decides nothing
+    still = np.abs(move) < 1e-13
+    up[still], down[still] = np.inf, np.inf
+    a, b = up.min(), down.min()
+    step, at = (a, int(up.argmin())) if draw * (a + b) < b else (-b, int(down.argmin()))
+    out = np.clip(p + step * move, 0.0, 1.0)
+    out[at] = np.round(out[at])
     return out
 
 
-def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """The cube method's flight over units in the given order, with sum(p) and sum(p * size) held; land decides what is left.
-
-    Sizes come in descending order.
-    """
-    p, draws = p.astype(float), rng.random(len(p) + 2)
-    kept = _spread(size, LANDING) if land else []
-    todo, live, k = iter(sorted({*range(len(p))} - {*kept})), [], 0
-    while True:
-        live = [i for i in live if EPS < p[i] < 1 - EPS]
-        while len(live) < 3 and (i := next(todo, None)) is not None:
-            if EPS < p[i] < 1 - EPS:
-                live.append(i)
-        if len(live) == 2 and size[live[0]] == size[live[1]]:
-            move = (1.0, -1.0)
-        elif len(live) < 3:
-            break
+def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool, target: float = 0.0) -> np.ndarray:
+    """The cube method's flight over units of descending size, with sum(p) and sum(p * size) held; land decides what is left."""
+    p, size = p.astype(float), size.astype(float)
+    live, left = np.flatnonzero((p > EPS) & (p < 1 - EPS)), []
+    while len(live) > 1:
+        move = _direction(p[live], size[live])
+        if move is None:  # the largest has nobody to move with
+            left.append(int(live[0]))
+            live = live[1:]
+            continue
+        p[live] = _moved(p[live], move, rng.random())
+        live = live[(p[live] > EPS) & (p[live] < 1 - EPS)]
+    left = sorted([*left, *live.tolist()], key=lambda i: (-size[i], i))
+    while land and left:
+        if len(left) > 1 and size[left[1]] > 0:
+            two = left[:2]
+            p[two] = _moved(p[two], np.array([1.0, -size[two[0]] / size[two[1]]]), rng.random())
         else:
-            a, b, c = (float(size[i]) for i in live)
-            move = (b - c, c - a, a - b) if a != b or b != c else (1.0, -1.0, 0.0)
-        up = min(((1 - p[i]) / m if m > 0 else p[i] / -m) for i, m in zip(live, move, strict=True) if m)
-        down = min((p[i] / m if m > 0 else (1 - p[i]) / -m) for i, m in zip(live, move, strict=True) if m)
-        step = up if draws[k % len(draws)] * (up + down) < down else -down
-        k += 1
-        for i, m in zip(live, move, strict=True):
-            p[i] = min(1.0, max(0.0, p[i] + step * m))
-    live += kept
-    if land and live:  # of all choices for these few, the one nearest to the total of words, then of documents
-        chosen = (np.arange(2 ** len(live))[:, None] >> np.arange(len(live))) & 1
-        words = np.abs(chosen @ size[live].astype(float) - p[live] @ size[live])
-        rows = np.abs(chosen.sum(1) - p[live].sum())
-        p[live] = chosen[np.lexsort((rows, np.round(words, 6)))[0]]
+            i = left[0]
+            p[i] = float(rng.random() < p[i]) if size[i] <= DRAWN * target else np.round(p[i])
+        left = [i for i in left if EPS < p[i] < 1 - EPS]
     return np.where(p < EPS, 0.0, np.where(p > 1 - EPS, 1.0, p))
 
 
@@ -114,16 +126,20 @@ def _flight(units: DataFrame, block: int, seed: int, level: int) -> tuple[DataFr
     def decide(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", ignore_index=True)
         at = [seed, level, int(df["block"].iloc[0]), *df["k"].iloc[0].encode()]
-        df["p"] = fly(df["p"].to_numpy(), df["size"].to_numpy(), np.random.default_rng(at), last)
+        df["p"] = fly(df["p"].to_numpy(), df["size"].to_numpy(), np.random.default_rng(at), last, float(df["target"].iloc[0]))
         return df[columns]
 
     columns = units.columns
     return staged(dealt.groupBy("k", "block").applyInPandas(decide, units.schema), f"mix-{level}"), last
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, block: int = 1024, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken. Reruns agree: all draws are seeded."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), key_of(source_col).alias("k"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, block: int = 1024, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken. Reruns agree: all draws are seeded.
+
+    row_col: numbers of the rows, which come back as row.
+    """
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, key_of(source_col).alias("k"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = staged(rows, "mix-rows")
     sizes = rows.groupBy("k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = source_targets(sizes, tuple(weights), max_repeat)
@@ -143,15 +159,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_rep
     for part in parts[1:]:
         out = out.unionByName(part)
     out = out.withColumn("copies", F.col("whole") + F.round("p").cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if row_col else []))
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as they came.
-
-    A repeated doc_id takes the copies of each of its rows from the same total, so ids should be unique.
-    """
-    copies = mix_sources(docs, **options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    joined = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
-
+    """The rows themselves, each as often as the mix takes it; columns as they came. Repeated and null doc_ids are rows like any other."""
+    rows, no = numbered(docs)
+    copies = f"{no}_copies"
+    while copies in docs.columns:
+        copies += "_"
+    taken = mix_sources(rows, row_col=no, **options).filter("copies > 0").select(F.col("row").alias(no), F.col("copies").cast("int").alias(copies))
+    return rows.join(taken, no).select("*", F.explode(F.sequence(F.lit(1), F.col(copies))).alias(f"{copies}_at")).select(docs.columns)
