@@ -163,7 +163,7 @@ def shingles(t):
     return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("block", [256, 4])
+@pytest.mark.parametrize("block", [256, 4, 2])
 def test_minhash_dedup(docs, empty, monkeypatch, block):
     monkeypatch.setattr(md, "BLOCK_ROWS", block)
     sets = {r[0]: shingles(r[1]) for r in corpus()}
@@ -181,6 +181,33 @@ def test_minhash_dedup(docs, empty, monkeypatch, block):
     assert md.without_near_copies(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [256, 16, 5])
+def test_minhash_dedup_of_chains_and_clusters(spark, monkeypatch, block):
+    """Groups that share passages but split into clusters, and chains whose ends are not alike: every link is found across blocks."""
+    monkeypatch.setattr(md, "BLOCK_ROWS", block)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for c in range(4):  # clusters that share half of their words, a chain of small steps in each
+        own = base[:70] + [f"c{c}x{i}" for i in range(50)]
+        for _ in range(30):
+            own = list(own)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = f"n{rng.randint(0, 40)}"
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                lo, hi = sorted((label[a], label[b]))
+                label = [lo if x == hi else x for x in label]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in md.minhash_dedup(d).collect()} == dict(enumerate(label))
+    assert 4 <= len(set(label)) < 40
+
+
 @pytest.mark.parametrize("percent", [40, 50, 60, 80, 85, 100])
 def test_overlap_follows_percent(percent):
     tail = sum(math.comb(md.K, i) * (percent / 100) ** i * (1 - percent / 100) ** (md.K - i) for i in range(md.overlap(percent)))
