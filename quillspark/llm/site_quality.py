@@ -1,13 +1,15 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic model over counts of the text gives each document's evidence. Summed by host and by path below it, the evidence
-gives a posterior for each site: sparse sites shrink to what stands above them, path to host and host to the global
+A logistic model over counts of the text and over its words, hashed into buckets, gives each document's evidence. Summed by host and
+by path below it, the evidence gives a posterior for each site: sparse sites shrink to what stands above them, path to host and host to the global
 rate, by a prior strength that the method of moments takes from the spread between sites. A document's odds are its own
-evidence moved by how far its path's posterior stands from the global rate.
+evidence moved by how far its path's posterior, without the document itself, stands from the global rate: a site's only
+document is moved by what stands above the site.
 
 Null and empty texts have neutral counts and are judged like any other. Null hosts and paths are sites of their own. Labels
-that are null, or of no document, are ignored; without labels every document scores the prior and is kept. Repeated rows are scored one
-by one. An empty table gives an empty result.
+that are null, or of no document, are ignored; of a document's labels the best counts; without labels every document scores the
+prior and is kept. Repeated rows are scored one by one, and a score at the threshold is kept. Other columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import join_counted, key_of, numbered, staged
 
 #: Labelled rows that the model is fitted on at most, about; which, a hash of doc_id decides.
 FIT_ROWS = 20_000
+#: Buckets of words, and how much stronger than the counts' the ridge on their weights is.
+BUCKETS, WORD_RIDGE = 128, 20.0
 SYMBOLS = "#*$%&<>"
 FEATURES = ("log_words", "word_length", "symbols", "bars", "shouts", "no_lower", "same_lines", "variety")
 
@@ -51,6 +55,12 @@ def text_features(text: Column) -> list[Column]:
     ]
 
 
+def buckets(text: Column) -> Column:
+    """The bucket of each word of a text, from 1; words differ by case no more than letters do."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
+
+
 @dataclass
 class Logistic:
     """A fitted model; also the share of good labels."""
@@ -59,18 +69,25 @@ class Logistic:
     bias: float
     rate: float
 
-    def logit(self, features: Column) -> Column:
-        return sum((features[i] * w for i, w in enumerate(self.weights)), F.lit(self.bias))
+    def logit(self, features: Column, words: Column | None = None) -> Column:
+        """Of counts, and of the buckets of words, which count by their share."""
+        out = sum((features[i] * w for i, w in enumerate(self.weights[: len(FEATURES)])), F.lit(self.bias))
+        own = self.weights[len(FEATURES) :]
+        if words is None or not any(own):
+            return out
+        table = F.array(*[F.lit(w) for w in own])
+        return out + F.aggregate(words, F.lit(0.0), lambda a, b: a + F.get(table, b - 1)) / F.greatest(F.size(words), F.lit(1))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
-    """Ridge logistic regression by Newton's method."""
+    """Ridge logistic regression by Newton's method; columns past the counts are shares of words."""
     if not len(y):
         return Logistic([0.0] * len(FEATURES), 0.0, 0.5)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([np.ones(len(x)), np.where(scale > 1e-6, (x - mean) / scale, 0)])
     w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
     penalty[0] = 1e-3
+    penalty[1 + len(FEATURES) :] = ridge * WORD_RIDGE
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
@@ -81,6 +98,20 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
     return Logistic([float(v) for v in slopes], float(w[0] - slopes @ mean), float(y.mean()))
 
 
+def _sampled(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(counts and shares of words, labels) of a bounded sample of rows with x, b, y; words are counted before they come here."""
+    rows = staged(sample.withColumn("i", F.monotonically_increasing_id()), "fit-rows")
+    base = rows.select("i", "x", "y", F.greatest(F.size("b"), F.lit(1)).alias("n")).collect()
+    place = {r["i"]: k for k, r in enumerate(base)}
+    x = np.zeros((len(base), len(FEATURES) + BUCKETS))
+    if base:
+        x[:, : len(FEATURES)] = [r["x"] for r in base]
+    counted = rows.select("i", F.explode("b").alias("b")).groupBy("i", "b").count().toPandas()
+    at = counted["i"].map(place).to_numpy(np.int64)
+    x[at, len(FEATURES) - 1 + counted["b"].to_numpy(np.int64)] = counted["count"].to_numpy() / np.array([r["n"] for r in base])[at] if len(counted) else 0
+    return x, np.array([r["y"] for r in base])
+
+
 def _strength(sites: DataFrame, mean: float) -> float:
     """The prior's weight in documents, from the spread of site means beyond what their sizes explain."""
     r = sites.agg(F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2).alias("between"), F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("n2")).first()
@@ -99,28 +130,35 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     row = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), *row, host.cast("string").alias("h"), path.cast("string").alias("p"), F.array(*text_features(F.col(text_col))).alias("x"))
-    row = ["row"] if row_col else []
-    rows = staged(rows.select("doc_id", *row, key_of("h").alias("host"), F.concat_ws("\u0000", key_of("h"), key_of("p")).alias("path"), "x"), "features")
+    text = F.col(text_col)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     n_known = known.count()
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, n_known))))
-    sample = rows.join(chosen, "doc_id").select("x", "y").collect()
-    model = fit(np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in sample]))
+    chosen = staged(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, n_known)))), "labelled")
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.array(*text_features(text)).alias("x"), buckets(text).alias("b")).join(F.broadcast(chosen), "doc_id")
+    model = fit(*_sampled(sample))
 
-    rows = rows.withColumn("logit", model.logit(F.col("x"))).withColumn("score", 1 / (1 + F.exp(-F.col("logit")))).drop("x")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, host.cast("string").alias("h"), path.cast("string").alias("p"), model.logit(F.array(*text_features(text)), buckets(text)).alias("logit"))
+    row = ["row"] if row_col else []
+    rows = staged(rows.select("doc_id", *row, key_of("h").alias("host"), F.concat_ws("\u0000", key_of("h"), key_of("p")).alias("path"), "logit", (1 / (1 + F.exp(-F.col("logit")))).alias("score")), "evidence")
     paths = staged(rows.groupBy("host", "path").agg(F.sum("score").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = staged(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("n_paths")), "hosts")
-    total = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("n_paths").alias("k")).first()
+    hosts = staged(paths.groupBy("host").agg(F.sum("s").alias("host_s"), F.sum("n").alias("host_n"), F.count("*").alias("n_paths")), "hosts")
+    total = hosts.agg(F.sum("host_s").alias("s"), F.sum("host_n").alias("n"), F.sum("n_paths").alias("k")).first()
     mean = (total["s"] or 0.0) / (total["n"] or 1)
-    a, b = _strength(hosts, mean), _strength(paths, mean)
-    hosts = hosts.withColumn("host_score", (F.col("s") + a * mean) / (F.col("n") + a)).select("host", "host_score", "n_paths")
+    a, b = _strength(hosts.select(F.col("host_s").alias("s"), F.col("host_n").alias("n")), mean), _strength(paths, mean)
     paths = join_counted(paths, hosts, ["host"], "n_paths", int(total["k"] or 0))
-    paths = paths.withColumn("path_score", (F.col("s") + b * F.col("host_score")) / (F.col("n") + b)).select("path", "host_score", "path_score", "n")
+    paths = paths.select("path", F.col("s").alias("path_s"), F.col("n").alias("path_n"), "host_s", "host_n", "n")
     out = join_counted(rows.drop("host"), paths, ["path"], "n", int(total["n"] or 0))
+
+    def posteriors(score: Column | float, one: int) -> tuple[Column, Column]:
+        """Of host and path, with a document of this score left out if one is 1."""
+        above = (F.col("host_s") - score + a * mean) / (F.col("host_n") - one + a)
+        return above, (F.col("path_s") - score + b * above) / (F.col("path_n") - one + b)
+
+    host_score, path_score = posteriors(F.lit(0.0), 0)
     odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    out = out.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("path_score")) - odds(F.lit(mean))))))
-    return out.select("doc_id", F.col("score").alias("doc_score"), "host_score", "path_score", "quality_score", (F.col("quality_score") >= threshold).alias("kept"), *row)
+    out = out.withColumn("others", posteriors(F.col("score"), 1)[1])
+    out = out.withColumn("quality_score", 1 / (1 + F.exp(-(F.col("logit") + odds(F.col("others")) - odds(F.lit(mean))))))
+    return out.select("doc_id", F.col("score").alias("doc_score"), host_score.alias("host_score"), path_score.alias("path_score"), "quality_score", (F.col("quality_score") >= threshold).alias("kept"), *row)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:

@@ -390,9 +390,69 @@ def test_site_quality(spark, docs, empty):
     assert all(0 < v < 1 for v in sites.values())
 
 
-def test_site_scores_shrink():
-    m = sq.fit(np.array([[0.0] * 8, [1.0] * 8] * 50), np.array([0.0, 1.0] * 50))
-    assert m.rate == 0.5
+def test_site_posteriors_by_hand(spark):
+    """Hosts and paths, null ones too, a site of one row, repeated rows, ties and clashing names against plain Python."""
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choices(["plain", "words", "of", "good", "prose", "here"], k=60)) + "."
+    junk = lambda: "### | BUY $$$ !!! " * rng.randint(3, 9)
+    sites = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x"), (None, "x"), (None, None)]
+    rows = [(i, good() if rng.random() < (0.9 if sites[i % 6][0] == "a" else 0.3) else junk(), *sites[i % 6]) for i in range(90)]
+    rows += [(90, good(), "lone", "p"), (91, None, "b", "x"), (92, "", "b", "x"), rows[3], rows[3], (None, good(), "a", "y")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, lang string, no long").withColumn("logit", F.lit(0)).withColumn("n", F.lit(1)).repartition(3)
+    labels = spark.createDataFrame([(i, int("BUY" not in t)) for i, t, *_ in rows[:60]] + [(5, None), (999, 1)], "doc_id long, quality int")
+    got = sq.site_quality(d, labels, row_col="no").join(d.select(F.col("no").alias("row"), "source", "lang", "text"), "row").collect()
+    assert len(got) == len(rows)
+    n, mean = len(got), sum(r["doc_score"] for r in got) / len(got)
+
+    def sums(key):
+        out = collections.defaultdict(list)
+        for r in got:
+            out[key(r)].append(r["doc_score"])
+        return out
+
+    def strength(sites):
+        between = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in sites.values())
+        within = mean * (1 - mean)
+        spread = (between - (len(sites) - 1) * within) / max(1, n - sum(len(v) ** 2 for v in sites.values()) / n)
+        return min(1000, max(5, within / max(spread, 1e-9) - 1))
+
+    hosts, paths = sums(lambda r: r["source"]), sums(lambda r: (r["source"], r["lang"]))
+    a, b = strength(hosts), strength(paths)
+    odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
+    for r in got:
+        h, p, s = hosts[r["source"]], paths[r["source"], r["lang"]], r["doc_score"]
+        host = (sum(h) + a * mean) / (len(h) + a)
+        assert r["host_score"] == pytest.approx(host)
+        assert r["path_score"] == pytest.approx((sum(p) + b * host) / (len(p) + b))
+        above = (sum(h) - s + a * mean) / (len(h) - 1 + a)
+        others = (sum(p) - s + b * above) / (len(p) - 1 + b)
+        assert r["quality_score"] == pytest.approx(1 / (1 + math.exp(-(odds(s) + odds(others) - odds(mean)))), rel=1e-6, abs=1e-9)
+        assert r["kept"] == (r["quality_score"] >= 0.5)
+    lone = next(r for r in got if r["source"] == "lone")
+    # nothing but the document itself speaks for its site, so the global rate stands for it
+    assert lone["quality_score"] == pytest.approx(lone["doc_score"], abs=1e-6)
+
+
+def test_words_are_evidence(spark):
+    """Texts alike in all counts are told apart by their words."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices(["abcd", "efgh", "ijkl"] if i % 2 else ["mnop", "qrst", "uvwx"], k=80)), "s", "l") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in sq.site_quality(d, labels).collect()}
+    assert all(got[i] == bool(i % 2) for i in range(300, 400))
+
+
+def test_fit_by_gradient():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(300, len(sq.FEATURES) + 3)), (rng.random(300) < 0.4).astype(float)
+    m = sq.fit(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    w = np.array(m.weights) * (x.std(0) + 1e-9)
+    p = 1 / (1 + np.exp(-(x @ np.array(m.weights) + m.bias)))
+    penalty = np.array([1.0] * len(sq.FEATURES) + [sq.WORD_RIDGE] * 3)
+    assert np.abs(z.T @ (y - p) - penalty * w).max() < 1e-6
+    assert m.rate == y.mean()
 
 
 def test_source_mix(spark, docs, empty):

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from quillspark.llm import queries as q
 from quillspark.llm.site_quality import good_documents
@@ -66,6 +67,46 @@ def test_quality_stage_rejects_rows_not_ids(spark):
     assert after == sorted([(i, t) for i, t in rows if t == good], key=repr)
 
 
+def corner_rows():
+    text = lambda of: " ".join(f"{of}{chr(97 + i % 26)}" for i in range(60))
+    rows = [(1, None, "en", "s"), (2, None, None, None), (3, "", "en", None), (4, " \n\t", None, "s"), (None, None, "en", "s"), (None, "", None, None)]
+    rows += [(i, text(f"t{i % 4}q"), "en" if i % 3 else None, "s" if i % 2 else None) for i in range(10, 40)]
+    return rows + rows[8:11] + [(50, "long " * 20_000, "en", "s"), (51, "two words", "en", "s"), (52, "two words", "de", "s")]
+
+
+def test_stages_on_corner_cases(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, and columns whose names the stages use themselves."""
+    docs = spark.createDataFrame(corner_rows(), "doc_id long, text string, lang string, source string").repartition(3)
+    for c in ("n", "row", "row_no", "copies", "row_no_copies", "kept", "component", "digest", "size", "key", "label", "p", "batch"):
+        docs = docs.withColumn(c, F.lit(None).cast("int"))
+    own = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        rows = after.collect()
+        if name == "packing":
+            assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+            continue
+        assert after.columns == docs.columns
+        got = collections.Counter((r["doc_id"], r["text"]) for r in rows)
+        assert set(got) <= set(own)
+        if name == "exact_dedup":
+            assert sum(not (t or "").split() for _, t in got.elements()) == 1
+            assert len({"".join((t or "").split()) for _, t in own}) == sum(got.values())
+        if name == "near_dedup":
+            assert sum(not (t or "").split() for _, t in got.elements()) == sum(not (t or "").split() for _, t in own)
+            assert sum(t == "two words" for _, t in got.elements()) == 1
+        if name == "source_mix":
+            assert all(n <= 3 * own.count(k) for k, n in got.items())
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        assert after.count() == 0
+        assert name == "packing" or after.columns == docs.columns
+
+
 def test_registered():
     assert sorted(q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for n in q.queries()]
     assert [int(n[2:].split("_")[0]) for n in q.queries()] == list(range(1, 11))
