@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Rows are told apart by numbers of their own, so repeated rows, repeated doc_ids and rows without doc_id are rows like any other in
+the first four stages, and columns besides doc_id, text, lang and source go along as they are, whatever their names. An empty
+table gives an empty result in every stage.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,46 @@ from quillspark.llm.source_mix import mixed_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null and empty texts have neutral counts and are judged like any other; a null source or language is a site of its own. Scores at
+    the threshold are kept. Without labels nothing is rejected.
+    """
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal but for white space.
+
+    The one of the longest text stays, then of the smallest doc_id, null last, then any one of equal rows. Null counts as empty, and
+    all empty texts are one group.
+    """
     return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The one of the smallest doc_id stays, null last, then any one of equal rows. Null and empty texts are like nothing and stay;
+    a text of fewer words than a shingle is one shingle.
+    """
     return without_near_copies(docs, percent=80, width=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, three times at most.
+
+    A null source is one of its own, the last. Null and empty texts have no words and are taken as often as their source's
+    share says. Of equal documents some may be taken and some not.
+    """
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences; the last stage, so columns of its own."""
+    """Pieces of the documents' token ids in sequences; the last stage, so columns of its own.
+
+    A null text is empty and has its closing id alone. Repeated rows are packed each for itself.
+    """
     return pack(docs, tokenizer_path())
 
 
