@@ -33,6 +33,8 @@ from .common import WordHashes, components, join_counted, numbered, runs, small_
 K, ODDS = 48, 1e-9
 #: Members and shingles of a block; a block of those apart and one of all meet in a task.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+#: Places in cells, some 40 bytes each, up to which the documents to read again are named by broadcast.
+FEW_PLACES = 400_000
 
 
 def overlap(percent: int) -> int:
@@ -176,6 +178,8 @@ def _linked(cells: DataFrame, n_cells: int, docs: DataFrame, classes: DataFrame,
     small_batches(spark, 500)
     key = [*key, "part"]
     wanted = passed.groupBy("doc_id").agg(F.collect_list(F.struct(*key, "known")).alias("places"))
+    n_places = passed.count()
+    wanted = F.broadcast(wanted) if n_places <= FEW_PLACES else wanted.hint("merge")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(wanted, "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +208,7 @@ def _linked(cells: DataFrame, n_cells: int, docs: DataFrame, classes: DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["centre", "a", "b"])
 
     sets = texts.select("doc_id", "t", "places").mapInArrow(read, "centre long, i int, j int, part int, doc_id long, known long, own binary")
-    sets = spread(sets, max(1, passed.count() // 2), *key).sortWithinPartitions(*key, "doc_id")
+    sets = spread(sets, max(1, n_places // 2), *key).sortWithinPartitions(*key, "doc_id")
     return staged(sets.mapInArrow(decide, "centre long, a long, b long"), "links")
 
 
