@@ -14,13 +14,15 @@ whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, key_of, numbered, staged
+from .common import join_counted, key_of, numbered, small_batches, staged
 
 #: Labelled rows that the model is fitted on at most, about; which, a hash of doc_id decides.
 FIT_ROWS = 20_000
@@ -100,16 +102,19 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Logistic:
 
 def _sampled(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(counts and shares of words, labels) of a bounded sample of rows with x, b, y; words are counted before they come here."""
-    rows = staged(sample.withColumn("i", F.monotonically_increasing_id()), "fit-rows")
-    base = rows.select("i", "x", "y", F.greatest(F.size("b"), F.lit(1)).alias("n")).collect()
-    place = {r["i"]: k for k, r in enumerate(base)}
-    x = np.zeros((len(base), len(FEATURES) + BUCKETS))
-    if base:
-        x[:, : len(FEATURES)] = [r["x"] for r in base]
-    counted = rows.select("i", F.explode("b").alias("b")).groupBy("i", "b").count().toPandas()
-    at = counted["i"].map(place).to_numpy(np.int64)
-    x[at, len(FEATURES) - 1 + counted["b"].to_numpy(np.int64)] = counted["count"].to_numpy() / np.array([r["n"] for r in base])[at] if len(counted) else 0
-    return x, np.array([r["y"] for r in base])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))
+            table = np.bincount(row * BUCKETS + words.flatten().to_numpy() - 1, minlength=batch.num_rows * BUCKETS).reshape(-1, BUCKETS)
+            shares = (table / np.maximum(1, table.sum(1, keepdims=True))).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in shares], pa.binary()), batch.column(2)], ["x", "shares", "y"])
+
+    rows = sample.select("x", "b", "y").mapInArrow(count, "x array<double>, shares binary, y double").collect()
+    counts = np.array([r["x"] for r in rows], np.float64).reshape(-1, len(FEATURES))
+    shares = np.frombuffer(b"".join(bytes(r["shares"]) for r in rows), "<f4").reshape(-1, BUCKETS)
+    return np.column_stack([counts, shares.astype(np.float64)]), np.array([r["y"] for r in rows])
 
 
 def _strength(sites: DataFrame, mean: float) -> float:
@@ -131,6 +136,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     path = F.col("lang") if path is None else path
     row = [F.col(row_col).alias("row")] if row_col else []
     text = F.col(text_col)
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     n_known = known.count()
     chosen = staged(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, n_known)))), "labelled")
