@@ -140,7 +140,8 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     n_known = known.count()
     chosen = staged(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / max(1, n_known)))), "labelled")
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.array(*text_features(text)).alias("x"), buckets(text).alias("b")).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.select(F.array(*text_features(F.col("t"))).alias("x"), buckets(F.col("t")).alias("b"), "y")
     model = fit(*_sampled(sample))
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *row, host.cast("string").alias("h"), path.cast("string").alias("p"), model.logit(F.array(*text_features(text)), buckets(text)).alias("logit"))
