@@ -7,9 +7,12 @@ table gives an empty result in every stage.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import staged
+from quillspark.llm.common import drop_tables, made_since, scratch_path, staged
 from quillspark.llm.exact_dedup import without_copies
 from quillspark.llm.minhash_dedup import without_near_copies
 from quillspark.llm.packing import pack
@@ -18,6 +21,27 @@ from quillspark.llm.site_quality import good_documents
 from quillspark.llm.source_mix import mixed_documents
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage before.
+_left: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    """A stage's result is written before the next one reads it, so the next one deletes what the first left behind, unless it reads that."""
+
+    @functools.wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _left, docs)
+        mark = len(made_since(0))
+        out = stage(spark, docs, sf_dir)
+        # the last stage's tables are the caller's to read, whenever that is
+        _left[:] = made_since(mark) if stage is not STAGES[-1][1].__wrapped__ else []
+        return out
+
+    return tidied
+
+
+@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject.
 
@@ -27,6 +51,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space.
 
@@ -36,6 +61,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_copies(docs)
 
 
+@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more.
 
@@ -45,6 +71,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_near_copies(docs, percent=80, width=5)
 
 
+@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, three times at most.
 
@@ -54,6 +81,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+@_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences; the last stage, so columns of its own.
 
@@ -70,9 +98,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over documents, each written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), name, path)
+        drop_tables(spark, before)
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)

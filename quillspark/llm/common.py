@@ -78,14 +78,32 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+def drop_tables(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Deletes these scratch tables, but for those that reader still reads."""
+    read = reader.inputFiles() if reader is not None and paths else []
+    # files are named with a scheme or without
+    read = [x.split(":", 1)[-1].lstrip("/") for x in read]
+    for path in paths:
+        own = path.split(":", 1)[-1].lstrip("/")
+        if any(x.startswith(f"{own}/") for x in read):
+            continue
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+        _made[:] = [x for x in _made if x[1] != path]
+
+
+def made_since(mark: int) -> list[str]:
+    """Scratch tables made after the first mark ones; the number of all so far is len(made_since(0))."""
+    return [path for _, path in _made[mark:]]
+
+
 @atexit.register
 def drop_scratch() -> None:
     """Deletes this session's scratch tables, if the session still runs."""
     while _made:
-        spark, path = _made.pop()
+        spark, path = _made[-1]
         try:
-            to = spark._jvm.org.apache.hadoop.fs.Path(path)
-            to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+            drop_tables(spark, [path])
         except Exception:  # noqa: BLE001  the JVM has gone; its folder is the cluster's to clean
             return
 
@@ -157,7 +175,7 @@ class WordHashes(dict):
     """64-bit hash of a word (bytes); remembers the words seen, up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
