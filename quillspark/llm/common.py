@@ -92,6 +92,14 @@ def drop_tables(spark: SparkSession, paths: list[str], reader: DataFrame | None
         _made[:] = [x for x in _made if x[1] != path]
 
 
+def kept_only(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """df staged, and the scratch tables made after the first mark ones dropped: they have served."""
+    path = scratch_path(df.sparkSession, name)
+    out = staged(df, name, path)
+    drop_tables(df.sparkSession, [x for x in made_since(mark) if x != path])
+    return out
+
+
 def made_since(mark: int) -> list[str]:
     """Scratch tables made after the first mark ones; the number of all so far is len(made_since(0))."""
     return [path for _, path in _made[mark:]]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_counted, mix, numbered, staged
+from .common import SPACES, join_counted, kept_only, made_since, mix, numbered, staged
 
 #: Keys that a filter holds at most, about; filters of more than FILTER_BYTES in all aren't broadcast.
 BUCKET_KEYS, MIN_BUCKETS, FILTER_BYTES = 262_144, 1024, 64 << 20
@@ -199,5 +199,6 @@ def exact_dedup(docs: DataFrame, n_batches: int = 2, id_col: str = "doc_id", tex
 def without_copies(docs: DataFrame, **options: object) -> DataFrame:
     """One row of each group, columns as they came; repeated and null doc_ids are rows like any other."""
     rows, no = numbered(docs)
-    gone = exact_dedup(rows, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no))
+    mark = len(made_since(0))
+    gone = kept_only(exact_dedup(rows, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no)), "gone", mark)
     return rows.join(gone, no, "left_anti").select(docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, join_counted, numbered, runs, small_batches, spread, staged, texts_of, windows_hash
+from .common import WordHashes, components, join_counted, kept_only, made_since, numbered, runs, small_batches, spread, staged, texts_of, windows_hash
 
 #: Retained values; the odds at most that a pair at the threshold shares too few of them: 3e-10 at 85 percent, 2e-10 at 80.
 K, ODDS = 48, 1e-9
@@ -274,9 +274,11 @@ def without_near_copies(docs: DataFrame, percent: int = 85, width: int = 5, id_c
     Rows are told apart by numbers, so repeated and null doc_ids are rows like any other.
     """
     rows, no = numbered(docs)
+    mark = len(made_since(0))
     found = minhash_dedup(rows, percent, width, no, text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     found = staged(found.join(rows.select(F.col(no).alias("row"), F.col(id_col).alias("id")), "row"), "components")
     best = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row")).alias("best")
     many = found.groupBy("component").agg(best, F.count("*").alias("n")).filter("n > 1").select("component", F.col("best.row").alias("keep"), "n")
     gone = join_counted(found, many, ["component"], "n", found.count()).filter("row <> keep").select(F.col("row").alias(no))
+    gone = kept_only(gone, "gone", mark)
     return rows.join(gone, no, "left_anti").select(docs.columns)

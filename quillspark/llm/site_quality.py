@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, key_of, numbered, small_batches, staged
+from .common import join_counted, kept_only, key_of, made_since, numbered, small_batches, staged
 
 #: Labelled rows that the model is fitted on at most, about; which, a hash of doc_id decides.
 FIT_ROWS = 20_000
@@ -171,5 +171,6 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
 def good_documents(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
     """The rows that are not rejected, columns as they came; repeated and null doc_ids are rows like any other."""
     rows, no = numbered(docs)
-    gone = site_quality(rows, labels, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no))
+    mark = len(made_since(0))
+    gone = kept_only(site_quality(rows, labels, row_col=no, **options).filter(~F.col("kept")).select(F.col("row").alias(no)), "gone", mark)
     return rows.join(gone, no, "left_anti").select(docs.columns)
