@@ -1,6 +1,7 @@
 """Text expressions: Column in, Column out, all in built-in functions.
 
-Java's \\s, \\b and (?i) are ASCII only; where other alphabets matter, patterns name what they mean.
+Java's \\s, \\b and (?i) are ASCII only; where other alphabets matter, patterns name what they mean. White space is
+all that Unicode calls so, and the separators \\x1C to \\x1F.
 """
 
 from __future__ import annotations
@@ -11,6 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as a set of characters, for strip(), and as a pattern.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = "[\\s\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once a row however often use needs it, inside lambdas too."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -18,18 +28,18 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def clean(text: Column) -> Column:
     """White space to one blank, then runs beyond ASCII to a blank, then trimmed; two blanks in a row can stay."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "\\s+", " "), "[^\\x00-\\x7F]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, f"{SPACE}+", " "), "[^\\x00-\\x7F]+", " "))
 
 
 def title(text: Column) -> Column:
     """The first of the first 20 lines whose trimmed length lies between 20 and 200."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: F.trim(x))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: strip(x))
     return F.get(F.filter(lines, lambda x: (F.length(x) > 20) & (F.length(x) < 200)), F.lit(0))
 
 
 def abstract(text: Column) -> Column:
     """What follows an abstract header, to a blank line or the next header; 500 characters at most."""
-    return F.substring(F.trim(F.regexp_extract(text, "(?is)abstract[:\\s]*\\n?(.*?)(?=\\n\\s*\\n|\\n[a-z]+:|$)", 1)), 1, 500)
+    return F.substring(strip(F.regexp_extract(text, "(?is)abstract[:\\s]*\\n?(.*?)(?=\\n\\s*\\n|\\n[a-z]+:|$)", 1)), 1, 500)
 
 
 def year(text: Column) -> Column:
@@ -38,7 +48,7 @@ def year(text: Column) -> Column:
 
 
 def _listed(found: Column, sep: str) -> Column:
-    return F.slice(F.filter(F.transform(F.split(found, sep), lambda x: F.trim(x)), lambda x: x != ""), 1, 10)
+    return F.slice(F.filter(F.transform(F.split(found, sep), lambda x: strip(x)), lambda x: x != ""), 1, 10)
 
 
 def keywords(text: Column) -> Column:
@@ -60,11 +70,11 @@ def doc_key(path: Column) -> Column:
 
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences longer than least characters; a stop is . ? or ! and white space."""
-    return F.filter(F.transform(F.split(text, "(?<=[.!?])\\s+"), lambda x: F.trim(x)), lambda x: F.length(x) > least)
+    return F.filter(F.transform(F.split(text, f"(?<=[.!?]){SPACE}+"), lambda x: strip(x)), lambda x: F.length(x) > least)
 
 
 def strip_markup(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), "\\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, "<[^>]+>", " "), f"{SPACE}+", " "))
 
 
 def words(text: Column) -> Column:
@@ -81,15 +91,14 @@ def guess_language(text: Column, first: tuple[str, ...], second: tuple[str, ...]
 
 
 def expand_query(query: Column, expansions: tuple[tuple[str, str], ...]) -> Column:
-    """The query and, for each term in it, the phrase that goes with it unless that is there already."""
-    out = query
-    for term, phrase in expansions:
-        out = F.when(F.lower(query).contains(term) & ~F.lower(out).contains(phrase), F.concat(out, F.lit(" " + phrase))).otherwise(out)
-    return out
+    """The query and, for each term in it, the phrase that goes with it unless the query itself has that already."""
+    low = F.lower(query)
+    added = [F.when(low.contains(term) & ~low.contains(phrase.lower()), F.lit(phrase)) for term, phrase in expansions]
+    return F.concat_ws(" ", query, *added)
 
 
 def normalise(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
+    return strip(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
 
 
 def content_overlap(needle: Column, text: Column, stop: tuple[str, ...] = ()) -> Column:
@@ -100,7 +109,7 @@ def content_overlap(needle: Column, text: Column, stop: tuple[str, ...] = ()) ->
 
 def is_degenerate(text: Column, least: int = 10) -> Column:
     """Too short, or a placeholder."""
-    return text.isNull() | (F.length(F.trim(text)) < least) | F.lower(F.trim(text)).rlike("^(n/?a|none|null|unknown|tbd|-+|\\.+)$")
+    return text.isNull() | (F.length(strip(text)) < least) | F.lower(strip(text)).rlike("^(n/?a|none|null|unknown|tbd|-+|\\.+)$")
 
 
 def without_tag(text: Column) -> Column:

@@ -11,7 +11,10 @@ from .views import table
 EN, DE, STOP = ("the", "and", "of", "that", "is"), ("der", "die", "und", "das", "ein"), ("that", "with")
 
 _docs = lambda s, d: table(s, d, "documents")
-_CLEAN = "trim(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[^\\x00-\\x7F]+', ' ', 'g'), ' ')"
+#: White space in DuckDB's patterns, and as the characters that trim() takes off.
+_SP = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIP = "(" + " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + ")"
+_CLEAN = f"trim(regexp_replace(regexp_replace(text, '{_SP}+', ' ', 'g'), '[^\\x00-\\x7F]+', ' ', 'g'), {_STRIP})"
 _words = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
 
 
@@ -57,8 +60,8 @@ QUERIES = {
         "WITH t AS (SELECT doc_id, '[1] [' || (doc_id % 7) || '] (Smith et al., 2020) (Doe, 2019) [1] ' || text AS x FROM documents) SELECT doc_id, list_aggregate(list_sort(list_distinct(list_concat(regexp_extract_all(x, '\\[\\d+\\]'), regexp_extract_all(x, '\\([A-Z][a-z]+(?: et al\\.)?, \\d{4}\\)')))), 'string_agg', ';') AS cites FROM t",
     ),
     "doc_id_md5": (lambda s, d: table(s, d, "pages").select("page_id", text.doc_key(F.col("url")).alias("key")), "SELECT page_id, substr(md5(url), 1, 16) AS key FROM pages"),
-    "doc_sentences": (lambda s, d: _docs(s, d).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n")), "SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: length(x) > 20)) AS INTEGER) AS n FROM documents"),
-    "html_strip": (lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.strip_markup(F.col("html"))).alias("text_md5")), "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')) AS text_md5 FROM pages"),
+    "doc_sentences": (lambda s, d: _docs(s, d).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n")), f"SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_STRIP})), lambda x: length(x) > 20)) AS INTEGER) AS n FROM documents"),
+    "html_strip": (lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.strip_markup(F.col("html"))).alias("text_md5")), f"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_SP}+', ' ', 'g'), {_STRIP})) AS text_md5 FROM pages"),
     "lang_guess_confusion": (language, _LANG),
     "content_overlap": (overlap, _OVERLAP),
     "norm_type_verdict": (
@@ -68,7 +71,7 @@ QUERIES = {
     "degenerate_texts": (lambda s, d: _docs(s, d).groupBy(text.is_degenerate(F.col("text"), 60).alias("degenerate")).count().withColumnRenamed("count", "n"), "SELECT length(trim(text, ' ')) < 60 OR regexp_matches(lower(trim(text, ' ')), '^(n/?a|none|null|unknown|tbd|-+|\\.+)$') AS degenerate, count(*) AS n FROM documents GROUP BY ALL"),
     "expanded_queries": (
         lambda s, d: table(s, d, "part").select("p_partkey", text.expand_query(F.col("p_name"), (("red", "crimson scarlet"), ("small", "little"), ("widget", "little thing"))).alias("q")),
-        "WITH a AS (SELECT p_partkey, p_name AS o, CASE WHEN contains(lower(p_name), 'red') THEN p_name || ' crimson scarlet' ELSE p_name END AS q FROM part), b AS (SELECT p_partkey, o, CASE WHEN contains(o, 'small') AND NOT contains(q, 'little') THEN q || ' little' ELSE q END AS q FROM a) SELECT p_partkey, CASE WHEN contains(o, 'widget') AND NOT contains(q, 'little thing') THEN q || ' little thing' ELSE q END AS q FROM b",
+        "SELECT p_partkey, p_name || CASE WHEN contains(lower(p_name), 'red') AND NOT contains(lower(p_name), 'crimson scarlet') THEN ' crimson scarlet' ELSE '' END || CASE WHEN contains(lower(p_name), 'small') AND NOT contains(lower(p_name), 'little') THEN ' little' ELSE '' END || CASE WHEN contains(lower(p_name), 'widget') AND NOT contains(lower(p_name), 'little thing') THEN ' little thing' ELSE '' END AS q FROM part",
     ),
     "section_chunks": (lambda s, d: chunking.chunk_documents(_docs(s, d), words=("the", "der", "que")).select("doc_id", "chunk_index", "section", F.md5("content").alias("content_md5")), None),
     "weakness_windows": (lambda s, d: chunking.weakness_windows(_docs(s, d), "the|das", "and|und").select("doc_id", F.length("excerpt").alias("n")), None),

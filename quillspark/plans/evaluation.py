@@ -22,7 +22,11 @@ def two_sides(s, d):
     return o.select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "a").otherwise("b").alias("side"), F.round(F.col("o_totalprice") / 1000).alias("v"))
 
 
-_SIDES = "x AS (SELECT o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN 'a' ELSE 'b' END AS side, round(o_totalprice / 1000) AS v FROM orders WHERE o_orderkey < 3000)"
+# rank sums and counts below, so that no pairs are made
+_SIDES = """x AS (SELECT o_orderpriority AS k, o_orderstatus = 'F' AS a, round(o_totalprice / 1000) AS v FROM orders),
+ r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY v) + (count(*) OVER (PARTITION BY k, v) - 1) / 2.0 AS r FROM x),
+ g AS (SELECT k, count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, sum(r) FILTER (WHERE a) AS s FROM r GROUP BY k),
+ w AS (SELECT k AS o_orderpriority, n1, n2, CAST(s - n1 * (n1 + 1) / 2 AS DOUBLE) AS u FROM g)"""
 
 
 def holm(s, d):
@@ -60,11 +64,11 @@ QUERIES = {
     ),
     "cliffs_delta": (
         lambda s, d: stats.cliffs_delta(two_sides(s, d), "o_orderpriority", "side", "v").withColumn("delta", F.round("delta", 6)),
-        f"WITH {_SIDES}, g AS (SELECT a.o_orderpriority, sum(sign(a.v - b.v)) / count(*) AS d FROM x a JOIN x b ON a.o_orderpriority = b.o_orderpriority AND a.side = 'a' AND b.side = 'b' GROUP BY 1), c AS (SELECT o_orderpriority, count(*) FILTER (WHERE side = 'a') AS n1, count(*) FILTER (WHERE side = 'b') AS n2 FROM x GROUP BY 1) SELECT o_orderpriority, n1, n2, round(d, 6) AS delta, CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM g JOIN c USING (o_orderpriority)",
+        f"WITH {_SIDES}, d AS (SELECT *, 2 * u / (n1 * n2) - 1 AS d FROM w) SELECT o_orderpriority, n1, n2, round(d, 6) AS delta, CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM d",
     ),
     "mwu_u": (
         lambda s, d: stats.mann_whitney(two_sides(s, d), "o_orderpriority", "side", "v").select("o_orderpriority", F.round("u", 6).alias("u"), F.round("rank_biserial", 6).alias("rank_biserial")),
-        f"WITH {_SIDES}, g AS (SELECT a.o_orderpriority, CAST(sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) AS DOUBLE) AS u, count(*) AS n FROM x a JOIN x b ON a.o_orderpriority = b.o_orderpriority AND a.side = 'a' AND b.side = 'b' GROUP BY 1) SELECT o_orderpriority, round(u, 6) AS u, round(1 - 2 * u / n, 6) AS rank_biserial FROM g",
+        f"WITH {_SIDES} SELECT o_orderpriority, round(u, 6) AS u, round(1 - 2 * u / (n1 * n2), 6) AS rank_biserial FROM w",
     ),
     "holm": (holm, "WITH k AS (SELECT p_brand, p_partkey, p_size / 1000 AS p FROM part WHERE p_partkey % 10 <> 0), r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1)) AS raw FROM k), a AS (SELECT p_partkey, max(raw) OVER (PARTITION BY p_brand ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING) AS adj FROM r) SELECT part.p_partkey, round(adj, 6) AS adjusted FROM part LEFT JOIN a ON a.p_partkey = part.p_partkey"),
     "mean_std": (lambda s, d: stats.mean_std(table(s, d, "events"), ["event_type"], "value"), "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM events GROUP BY 1"),

@@ -158,7 +158,7 @@ QUERIES = {
     "marker_relations": (pattern_relations, _REL),
     "cooccurrence_edges": (
         lambda s, d: ft.cooccurrence(table(s, d, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber"),
-        "WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS o FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, l_partkey) AS r FROM f) SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.r < b.r WHERE b.r <= 4",
+        "WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS o FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, l_partkey) AS r FROM f) SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.r < b.r WHERE b.r <= 20",
     ),
     "relation_classify": (relation_rows, None),
     "rule_results": (rule_rows, _RULES),
