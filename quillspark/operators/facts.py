@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dims import EXTRACT_CAUSAL, EXTRACT_CONTRADICTION, EXTRACT_EXTENSION, PREDICATES
 from ..functions.text import sentences
+from .tools import named_in
 
 #: Patterns of pattern-based extraction, each with the type it finds.
 ENTITY_PATTERNS = (
@@ -81,15 +82,17 @@ def dedup_entities(entities: DataFrame) -> DataFrame:
 def resolve_names(names: DataFrame, entities: DataFrame, name: str = "mention") -> DataFrame:
     """names with entity_id: the first of the same lower-case name, else the first where one name holds the other.
 
-    The containment join compares all names with all entities, so entities should be a bounded dimension; exact matches are
-    an equi-join of any size, and only what that leaves unmatched is compared.
+    Both are equi-joins of any size: names that hold one another are joined by their first characters, then compared.
     """
     asked = names.select(name).distinct()
     first = entities.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("seq", "entity_id"))["entity_id"].alias("entity_id"))
     exact = asked.join(first, F.lower(name) == F.col("low"), "left").select(name, "entity_id")
     open_names = exact.filter("entity_id is null").select(name)
-    e = entities.select(F.lower("name").alias("low"), "seq", F.col("entity_id").alias("found"))
-    near = open_names.join(e, F.col("low").contains(F.lower(name)) | F.lower(name).contains(F.col("low"))).groupBy(name).agg(F.min(F.struct("seq", "found"))["found"].alias("near"))
+    e = entities.select(F.col("entity_id").alias("key"), "name", "seq")
+    asks, answers = open_names.select(F.col(name).alias("id"), F.col(name).alias("text")), e.select("key", "name")
+    inside = named_in(asks, answers).select(F.col("id").alias(name), F.col("key").alias("found"))
+    around = named_in(e.select(F.col("key").alias("id"), F.col("name").alias("text")), open_names.select(F.col(name).alias("key"), F.col(name).alias("name"))).select(F.col("key").alias(name), F.col("id").alias("found"))
+    near = inside.union(around).join(e.select(F.col("key").alias("found"), "seq"), "found").groupBy(name).agg(F.min(F.struct("seq", "found"))["found"].alias("near"))
     return names.join(exact.join(near, name, "left").select(name, F.coalesce("entity_id", "near").alias("entity_id")), name, "left")
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..dims import APPROACH_TERMS, ASPECT_TERMS
+from ..session import checkpointed
+from .rules import claim_verdicts, rule_results
+from .tools import isolation
 
 #: Papers of one topic that greedy clustering takes: it is sequential by definition.
 MOST_PAPERS = 50_000
@@ -64,8 +67,8 @@ def greedy_clusters(papers: DataFrame, topic: str, id_col: str, set_col: str, se
     return rows.groupBy("topic").applyInPandas(cluster, rows.select("topic").schema.add("id", T.StringType()).add("cluster_id", T.IntegerType()))
 
 
-def fragmentation(clustered: DataFrame, isolation: DataFrame | None = None) -> DataFrame:
-    """topic, n_clusters, separation, confidence, from topic, id, cluster_id, approaches; topics of two clusters or more.
+def fragmentation(clustered: DataFrame) -> DataFrame:
+    """topic, n_clusters, separation, confidence, from topic, id, cluster_id, approaches; topics of two clusters or more. Isolation is an indicator of its own.
 
     Separation is the mean Jaccard distance of cluster sets, 0.5 without a pair to compare.
     """
@@ -147,6 +150,49 @@ def fuzzy_contains(texts: DataFrame, needle: str, text: str, least: float = 0.82
     return texts.withColumn("fuzzy", F.when(there, 1.0).otherwise(best(F.col(needle), F.col(text)))).withColumn("explicit", F.col("fuzzy") >= least)
 
 
+def with_rules(indicators: DataFrame, facts: DataFrame, entities: DataFrame, **options: object) -> DataFrame:
+    """Indicators (indicator_id, description, confidence, papers) judged by the rules: adds verdict and adjusted_confidence, which becomes the confidence."""
+    linked = indicators.join(link_entities(indicators, entities), "indicator_id", "left")
+    claims = linked.select(F.col("indicator_id").alias("claim_id"), "description", "method", "domain", "findings", "confidence")
+    found = claim_verdicts(claims, rule_results(claims, facts, entities, **options))
+    return indicators.join(found.select(F.col("claim_id").alias("indicator_id"), "verdict", F.col("confidence").alias("adjusted_confidence")), "indicator_id").withColumn("raw_confidence", F.col("confidence")).withColumn("confidence", F.col("adjusted_confidence"))
+
+
+def analyze_gaps(papers: DataFrame, expected: DataFrame, facts: DataFrame, entities: DataFrame, edges: DataFrame | None = None, depth: str = "standard", terms: tuple[str, ...] = APPROACH_TERMS, aspects: tuple[str, ...] = ASPECT_TERMS, rules: bool = True, **options: object) -> DataFrame:
+    """All indicators of all topics: fragmentation, isolation (with edges), inconsistency (not if depth is quick) and incompleteness.
+
+    papers: topic, paper_id, content, keywords, seq; facts and entities know their source_paper. One row per indicator, in no
+    order but rank's: topic, indicator_id, indicator_type, detection_method, description, evidence, directions, papers, confidence,
+    verdict, adjusted_confidence, rank within the topic. What the rules reject is left out; without rules the verdict is null.
+    """
+    text, none = F.col("topic").cast("string"), F.array().cast("array<string>")
+    own = papers.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.col("paper_id").cast("string").alias("p")))), lambda x: x["p"]).alias("papers"))
+
+    def rows(df: DataFrame, kind: str, method: str, description: Column, evidence: Column, direction: str) -> DataFrame:
+        return df.select("topic", F.lit(kind).alias("indicator_type"), F.lit(method).alias("detection_method"), description.alias("description"), evidence.alias("evidence"), F.array(F.lit(direction)).alias("directions"), "papers", F.col("confidence").cast("double").alias("confidence"))
+
+    known = approaches(papers, terms)
+    clusters = greedy_clusters(known, "topic", "paper_id", "approaches", "seq")
+    split = fragmentation(clusters.join(known.select(F.col("paper_id").cast("string").alias("id"), "approaches"), "id")).drop("papers").join(own, "topic")
+    parts = [rows(split, "FRAGMENTATION", "clustering", F.concat(F.lit("Work on "), text, F.format_string(" falls into %d approaches", "n_clusters")), F.array(F.format_string("separation %.2f", "separation")), "Compare the approaches on common ground")]
+    if edges is not None:
+        apart = isolation(edges, papers, "topic", "paper_id", "seq").filter("isolation > 0.6").select(F.col("by").alias("topic"), F.col("isolation").alias("confidence")).join(own, "topic")
+        parts.append(rows(apart, "FRAGMENTATION", "citation_isolation", F.concat(F.lit("Papers on "), text, F.lit(" hardly refer to each other")), F.array(F.format_string("isolation %.2f", "confidence")), "Look for links between the streams"))
+    if depth != "quick":
+        where = facts.select("fact_id", F.col("source_paper").alias("paper_id")).join(papers.select("topic", F.col("paper_id").cast("string").alias("paper_id")), "paper_id")
+        against = inconsistency(facts, entities).join(where, "fact_id").withColumn("papers", F.array("paper_id"))
+        parts.append(rows(against, "INCONSISTENCY", "fact_contradiction", F.concat(F.lit("Findings disagree: "), F.col("description")), F.array("fact_id"), "Repeat both under the same conditions"))
+    lack = incompleteness(papers, expected, terms=aspects).join(own, "topic")
+    parts.append(rows(lack, "INCOMPLETENESS", "coverage", F.concat(F.lit("Not covered in "), text, F.lit(": "), F.col("missing")), F.array(F.format_string("%d of %d expected aspects", "n_missing", "n_expected")), "Study the aspects that are missing"))
+    out = union_of(parts).withColumn("indicator_id", F.concat_ws("-", text, F.substring(F.sha2(F.concat_ws("|", "indicator_type", "detection_method", "description", F.array_join("evidence", ",")), 256), 1, 12)))
+    if rules:
+        out = with_rules(checkpointed(out), facts, entities, **options).filter("verdict <> 'REJECT'")
+    else:
+        out = out.withColumn("verdict", F.lit(None).cast("string")).withColumn("adjusted_confidence", F.col("confidence"))
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("confidence"), "indicator_id"))
+    return out.withColumn("rank", rank).select("topic", "indicator_id", "indicator_type", "detection_method", "description", "evidence", "directions", F.coalesce("papers", none).alias("papers"), "confidence", "verdict", "adjusted_confidence", "rank")
+
+
 def union_of(parts: Iterable[DataFrame]) -> DataFrame:
     out = None
     for p in parts:

@@ -96,8 +96,21 @@ def spread_labels(edges: DataFrame, pick: Callable[[DataFrame], DataFrame], roun
     return labels
 
 
-def connected_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    return spread_labels(edges, lambda v: v.groupBy("node").agg(F.least(F.min("label"), F.min("own")).alias("label")), rounds)
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, label (the least node reachable): each round takes the least label around, then the label's own label, so long chains shorten fast.
+
+    Rounds go on until nothing moves. Skewed neighbours are split by the adaptive join.
+    """
+    e = checkpointed(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
+    labels = checkpointed(e.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
+    while True:
+        near = e.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        step = checkpointed(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was")))
+        tops = step.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = checkpointed(step.join(tops, "label").select("node", F.col("top").alias("label"), (F.col("top") != F.col("was")).alias("moved")))
+        labels = new.drop("moved")
+        if not new.filter("moved").limit(1).count():
+            return labels
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:

@@ -23,8 +23,37 @@ def spearman(rows: DataFrame, by: str, x: str, y: str, least: int = 3) -> DataFr
     return r.groupBy(by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).filter(F.col("n") >= least)
 
 
+#: Values of the smaller sample, and of both multiplied, up to which p is exact where no values tie.
+EXACT, EXACT_CELLS = 8, 20_000
+
+
+def exact_p(u: float, n1: int, n2: int) -> float:
+    """The two-sided p of U without ties: how many of all orders of the two samples give a U as far out."""
+    n, m = sorted((int(n1), int(n2)))
+    # ways[k][s]: choices of k of the ranks so far whose sum exceeds the least by s
+    ways = [[0] * (n * m + 1) for _ in range(n + 1)]
+    ways[0][0] = 1
+    for rank in range(n + m):
+        for k in range(min(rank, n - 1), -1, -1):
+            step = rank - k  # the k+1st least rank is k
+            if step > m:
+                continue
+            low, high = ways[k], ways[k + 1]
+            for s in range(n * m - step + 1):
+                if low[s]:
+                    high[s + step] += low[s]
+    far = max(u, n1 * n2 - u)
+    return min(1.0, 2 * sum(ways[n][math.ceil(far) :]) / math.comb(n + m, n))
+
+
+def mean_rho(groups: DataFrame) -> DataFrame:
+    """n_groups and the mean rho of spearman()'s groups, those without one left out."""
+    return groups.filter(F.col("rho").isNotNull() & ~F.isnan("rho")).agg(F.count("*").alias("n_groups"), F.round(F.avg("rho"), 6).alias("mean_rho"))
+
+
 def mann_whitney(rows: DataFrame, by: str, side: str, value: str) -> DataFrame:
-    """by, n1, n2, u, z, p, rank_biserial for side 'a' against 'b': p by the normal approximation with ties and continuity."""
+    """by, n1, n2, u, z, p, rank_biserial for side 'a' against 'b': p exact for small samples without ties, else by the normal approximation
+    with ties and continuity; null where a side has fewer than two values or all are equal."""
     r = rows.filter(F.col(value).isNotNull()).withColumn("r", average_rank([by], value))
     ties = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("t")).groupBy(by).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     g = r.groupBy(by).agg(F.count_if(F.col(side) == "a").alias("n1"), F.count_if(F.col(side) == "b").alias("n2"), F.sum(F.when(F.col(side) == "a", F.col("r")).otherwise(0.0)).alias("ra")).join(ties, by)
@@ -35,10 +64,15 @@ def mann_whitney(rows: DataFrame, by: str, side: str, value: str) -> DataFrame:
     z = F.when(var > 0, (F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0))) / F.sqrt(var)).otherwise(0.0)
 
     @F.pandas_udf("double")
-    def two_sided(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: math.erfc(x / math.sqrt(2)))
+    def two_sided(z: pd.Series, u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series, flat: pd.Series) -> pd.Series:
+        def one(z: float, u: float, a: int, b: int, ties: int, flat: bool) -> float | None:
+            if flat or min(a, b) < 2:
+                return None
+            return exact_p(u, a, b) if not ties and min(a, b) <= EXACT and a * b <= EXACT_CELLS else math.erfc(z / math.sqrt(2))
+
+        return pd.Series([one(*x) for x in zip(z, u, a, b, ties, flat, strict=True)], dtype="float64")
 
-    return g.withColumn("z", z).withColumn("p", two_sided("z")).withColumn("rank_biserial", 1 - 2 * F.col("u") / (n1 * n2)).drop("ra", "ties")
+    return g.withColumn("z", z).withColumn("p", two_sided("z", "u", "n1", "n2", "ties", F.coalesce(var <= 0, F.lit(True)))).withColumn("rank_biserial", 1 - 2 * F.col("u") / (n1 * n2)).drop("ra", "ties")
 
 
 def cliffs_delta(rows: DataFrame, by: str, side: str, value: str) -> DataFrame:

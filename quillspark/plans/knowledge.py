@@ -90,19 +90,19 @@ _CF = f"""{FACTS}, {ENTITIES}, li AS (SELECT DISTINCT l_orderkey, l_linenumber,
   EXISTS (SELECT 1 FROM cf WHERE s = method) AS mf, regexp_matches(lower(descr), 'urgent|high') AS sc, claim_id IN (SELECT claim_id FROM lack) AS la, claim_id IN (SELECT claim_id FROM k1) AS k1, claim_id IN (SELECT claim_id FROM c1) AS c1 FROM c)"""
 
 
-def rule_rows(s, d):
-    r = rules.rule_results(claims(s, d), claim_facts(s, d), entities(s, d), words=RULE_WORDS, kg_available=False)
-    return r.filter("rule_id in ('F1', 'F2', 'F3', 'C1', 'K1')").select("claim_id", "rule_id", "verdict", "adj")
+def dated(s, d):
+    """Entities, every twentieth part with a place in time."""
+    k = F.substring("entity_id", 2, 20).cast("long")
+    return entities(s, d).withColumn("temporal_order", F.when((F.col("entity_type") == "FINDING") & (k % 20 == 0), k.cast("double")))
 
 
-_RULES = f"""WITH {_CF}, x AS (SELECT claim_id, 'F1' AS rule_id, CASE WHEN mh AND dl THEN 'REJECT' ELSE 'PASS' END AS verdict FROM r UNION ALL SELECT claim_id, 'F2', CASE WHEN md AND ds THEN 'FLAG' ELSE 'PASS' END FROM r UNION ALL SELECT claim_id, 'F3', CASE WHEN ms AND sc THEN 'REJECT' ELSE 'PASS' END FROM r
- UNION ALL SELECT claim_id, 'C1', CASE WHEN n < 2 THEN 'PASS' WHEN la THEN 'MISSING' WHEN c1 THEN 'FLAG' ELSE 'PASS' END FROM r UNION ALL SELECT claim_id, 'K1', CASE WHEN la THEN 'MISSING' WHEN k1 THEN 'FLAG' ELSE 'PASS' END FROM r)
-SELECT claim_id, rule_id, CASE verdict WHEN 'MISSING' THEN 'FLAG' ELSE verdict END AS verdict, CAST(CASE WHEN verdict = 'PASS' THEN 0 WHEN verdict = 'MISSING' THEN -0.05 ELSE CASE rule_id WHEN 'F1' THEN -0.5 WHEN 'F2' THEN -0.2 WHEN 'F3' THEN -0.5 WHEN 'C1' THEN -0.15 ELSE -0.2 END END AS DOUBLE) AS adj FROM x"""
+def rule_rows(s, d):
+    return rules.rule_results(claims(s, d), claim_facts(s, d), dated(s, d), words=RULE_WORDS).select("claim_id", "rule_id", "verdict", "adj")
 
 
 def verdicts(s, d):
     c = claims(s, d)
-    return rules.claim_verdicts(c, rules.rule_results(c, claim_facts(s, d), entities(s, d), words=RULE_WORDS))
+    return rules.claim_verdicts(c, rules.rule_results(c, claim_facts(s, d), dated(s, d), words=RULE_WORDS))
 
 
 _PATHS = """e AS (SELECT DISTINCT s AS u, o AS v FROM cf WHERE s <> o), pr AS (SELECT DISTINCT fs[1] AS a, fs[-1] AS b FROM c WHERE len(fs) >= 2 AND fs[1] <> fs[-1]),
@@ -111,10 +111,15 @@ _PATHS = """e AS (SELECT DISTINCT s AS u, o AS v FROM cf WHERE s <> o), pr AS (S
  ph AS (SELECT a, b, count(*) AS k FROM o1 WHERE x = b GROUP BY ALL UNION ALL SELECT a, b, count(*) FROM o2 WHERE y = b GROUP BY ALL UNION ALL SELECT o2.a, o2.b, count(*) FROM o2 JOIN i1 ON i1.a = o2.a AND i1.b = o2.b AND z = y WHERE y <> o2.b GROUP BY ALL
   UNION ALL SELECT o2.a, o2.b, sum(k) FROM o2 JOIN n2 ON n2.a = o2.a AND n2.b = o2.b AND n2.y = o2.y GROUP BY ALL UNION ALL SELECT o2.a, o2.b, -count(*) FROM o2 JOIN i2 ON i2.a = o2.a AND i2.b = o2.b AND i2.y = o2.y AND z = x GROUP BY ALL),
  c3 AS (SELECT claim_id FROM c JOIN (SELECT a, b FROM ph GROUP BY ALL HAVING sum(k) > 1) ON a = fs[1] AND b = fs[-1] WHERE len(fs) >= 2),
- imp AS (SELECT DISTINCT claim_id, i, j FROM inn WHERE p = 'IMPROVES'), k3 AS (SELECT DISTINCT a.claim_id FROM imp a JOIN imp b ON b.claim_id = a.claim_id AND b.i = a.j JOIN inn t ON t.claim_id = a.claim_id AND t.i = a.i AND t.j = b.j AND t.p = 'CONTRADICTS')"""
+ imp AS (SELECT DISTINCT claim_id, i, j FROM inn WHERE p = 'IMPROVES'), bk AS (SELECT DISTINCT s FROM cf WHERE p = 'IMPROVES' AND s[1] = 'p' AND o[1] = 'p' AND CAST(s[2:] AS BIGINT) % 20 = 0 AND CAST(o[2:] AS BIGINT) % 20 = 0 AND CAST(s[2:] AS BIGINT) > CAST(o[2:] AS BIGINT) AND o <> 'p0'),
+ c2 AS (SELECT DISTINCT claim_id FROM fr JOIN bk ON id = s), k3 AS (SELECT DISTINCT a.claim_id FROM imp a JOIN imp b ON b.claim_id = a.claim_id AND b.i = a.j JOIN inn t ON t.claim_id = a.claim_id AND t.i = a.i AND t.j = b.j AND t.p = 'CONTRADICTS')"""
+
+_ADJ = f"""{_CF}, {_PATHS}, v AS (SELECT claim_id, [CASE WHEN mh AND dl THEN -0.5 ELSE 0 END, CASE WHEN md AND ds THEN -0.2 ELSE 0 END, CASE WHEN ms AND sc THEN -0.5 ELSE 0 END, CASE WHEN n < 2 THEN 0 WHEN la THEN -0.05 WHEN c1 THEN -0.15 ELSE 0 END, CASE WHEN la THEN -0.05 WHEN claim_id IN (SELECT claim_id FROM c2) THEN -0.5 ELSE 0 END,
+  CASE WHEN claim_id IN (SELECT claim_id FROM c3) THEN -0.1 ELSE 0 END, CASE WHEN la THEN -0.05 WHEN k1 THEN -0.2 ELSE 0 END, CASE WHEN mf THEN -0.1 ELSE -0.15 END, CASE WHEN n < 3 THEN 0 WHEN la THEN -0.05 WHEN claim_id IN (SELECT claim_id FROM k3) THEN -0.15 ELSE 0 END] AS adj FROM r)"""
+
+_RULES = f"""WITH {_ADJ} SELECT claim_id, ['F1', 'F2', 'F3', 'C1', 'C2', 'C3', 'K1', 'K2', 'K3'][i] AS rule_id, CASE WHEN adj[i] = 0 THEN 'PASS' WHEN adj[i] = -0.5 THEN 'REJECT' ELSE 'FLAG' END AS verdict, CAST(adj[i] AS DOUBLE) AS adj FROM v, range(1, 10) t(i)"""
 
-_VERDICTS = f"""WITH {_CF}, {_PATHS}, v AS (SELECT claim_id, [CASE WHEN mh AND dl THEN -0.5 ELSE 0 END, CASE WHEN md AND ds THEN -0.2 ELSE 0 END, CASE WHEN ms AND sc THEN -0.5 ELSE 0 END, CASE WHEN n < 2 THEN 0 WHEN la THEN -0.05 WHEN c1 THEN -0.15 ELSE 0 END, CASE WHEN la THEN -0.05 ELSE 0 END,
-  CASE WHEN claim_id IN (SELECT claim_id FROM c3) THEN -0.1 ELSE 0 END, CASE WHEN la THEN -0.05 WHEN k1 THEN -0.2 ELSE 0 END, CASE WHEN mf THEN -0.1 ELSE -0.15 END, CASE WHEN n < 3 THEN 0 WHEN la THEN -0.05 WHEN claim_id IN (SELECT claim_id FROM k3) THEN -0.15 ELSE 0 END] AS adj FROM r),
+_VERDICTS = f"""WITH {_ADJ},
  w AS (SELECT claim_id, len(list_filter(adj, lambda x: x = 0)) AS n_pass, len(list_filter(adj, lambda x: x < 0 AND x > -0.5)) AS n_flag, len(list_filter(adj, lambda x: x = -0.5)) AS n_reject, round(greatest(0, least(1, 0.9 + list_sum(adj))), 6) AS confidence FROM v)
 SELECT claim_id, CASE WHEN n_reject > 0 THEN 'REJECT' WHEN n_flag > 0 THEN 'FLAG' ELSE 'PASS' END AS verdict, CAST(confidence AS DOUBLE) AS confidence, n_pass, n_flag, n_reject, concat_ws(' ', CASE WHEN n_reject > 0 THEN 'REJECT' WHEN n_flag > 0 THEN 'FLAG' ELSE 'PASS' END, 'pass', n_pass, 'flag', n_flag, 'reject', n_reject) AS summary FROM w"""
 

@@ -20,8 +20,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(), in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """df cut from its lineage by checkpoint(), in the folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode and an error on a cluster."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="quill-"))
     return df.checkpoint()
