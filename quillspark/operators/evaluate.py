@@ -85,9 +85,17 @@ def greedy_match(pairs: DataFrame, topic: str, least: float) -> DataFrame:
     return rows.groupBy("topic").applyInPandas(match, rows.schema)
 
 
+#: Topics that every row is compared with at most: they go by broadcast.
+MOST_TOPICS = 10_000
+
+
 def best_topic(rows: DataFrame, topics: DataFrame, score: Column) -> DataFrame:
-    """id, topic, score of the best topic each; topics is a broadcast dimension."""
-    return rows.crossJoin(F.broadcast(topics)).select("id", "topic", score.alias("score")).groupBy("id").agg(F.max(F.struct("score", (-F.col("topic")).alias("t"))).alias("m")).select("id", (-F.col("m.t")).alias("topic"), F.col("m.score").alias("score"))
+    """id, topic, score of the best topic each, the first by name at a tie; topics is a stated set, whose size is checked."""
+    n = topics.count()
+    if n > MOST_TOPICS:
+        raise ValueError(f"{n} topics; take them in batches of {MOST_TOPICS}")
+    scored = rows.join(F.broadcast(topics), F.lit(True)).select("id", "topic", score.alias("score"))
+    return scored.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "topic")).alias("m")).select("id", "m.topic", (-F.col("m.s")).alias("score"))
 
 
 def critic(counts: DataFrame) -> DataFrame:

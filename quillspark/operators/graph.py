@@ -60,7 +60,10 @@ def simple_paths(edges: DataFrame, source: str, target: str, most: int = 4, limi
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tol: float = 1e-6, weight: str | None = None) -> DataFrame:
-    """node, rank: power iteration, mass of nodes without out-edges spread evenly, until the change is under tol * nodes."""
+    """node, rank: power iteration, mass of nodes without out-edges spread evenly, until the change is under tol * nodes.
+
+    Not done within the rounds is an error, unless tol is 0: then the rounds are what is wanted.
+    """
     e = edges.select("u", "v", (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     out = e.groupBy("u").agg(F.sum("w").alias("total"))
@@ -79,6 +82,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tol: fl
         ranks = new.drop("old")
         if change < tol * n:
             break
+    else:
+        if tol:
+            raise ValueError(f"ranks still move after {rounds} rounds")
     return ranks.select("node", "rank")
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_markup
+from ..functions.text import strip, strip_markup
 
 PAPER = "paper_id string, title string, authors array<string>, abstract string, year int, journal string, doi string, url string, citation_count int, source_api string"
 
@@ -90,35 +89,21 @@ def relevance(title: Column, abstract: Column, cites: Column, query: str) -> Col
     return 3 * share(title) + share(abstract) + cited
 
 
-def dedup_by_keys(papers: DataFrame, seq: str = "seq") -> DataFrame:
-    """The first paper of each DOI, then the first of each lower-case title: two passes, distributed."""
-    doi, low = F.lower(F.trim("doi")), F.lower(F.trim("title"))
-    first = papers.withColumn("r", F.when(F.coalesce(doi, F.lit("")) == "", 1).otherwise(F.row_number().over(Window.partitionBy(doi, F.when(F.coalesce(doi, F.lit("")) == "", F.col(seq))).orderBy(seq)))).filter("r = 1")
-    return first.withColumn("r", F.when(F.coalesce(low, F.lit("")) == "", 1).otherwise(F.row_number().over(Window.partitionBy(low, F.when(F.coalesce(low, F.lit("")) == "", F.col(seq))).orderBy(seq)))).filter("r = 1").drop("r")
-
-
-def dedup_in_order(papers: DataFrame, by: str, seq: str = "seq", most: int = 100_000) -> DataFrame:
-    """Exact keep-first in order, a DOI counting as seen even where its paper falls by title. by: one search's answer, so short."""
-
-    def keep(df: pd.DataFrame) -> pd.DataFrame:
-        if len(df) > most:
-            raise ValueError(f"{len(df)} papers in one answer; dedup_by_keys takes any number")
-        dois, titles, rows = set(), set(), []
-        df = df.sort_values(seq, kind="stable", ignore_index=True)
-        for i, (d, t) in enumerate(zip(df["doi"], df["title"], strict=True)):
-            d, t = (d or "").strip().lower(), (t or "").strip().lower()
-            if d and d in dois:
-                continue
-            if d:
-                dois.add(d)
-            if t and t in titles:
-                continue
-            if t:
-                titles.add(t)
-            rows.append(i)
-        return df.iloc[rows]
-
-    return papers.groupBy(by).applyInPandas(keep, papers.schema)
+def dedup_by_keys(papers: DataFrame, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
+    """The first paper of each DOI as it is written, then of each title but for case and white space: two passes, distributed.
+
+    That is keep-first in order: a DOI counts as seen even where its paper falls by title. Papers without DOI are told by title alone; no
+    title is a title like any other. by: columns within which papers are compared.
+    """
+    by, doi, low = by or [], F.coalesce("doi", F.lit("")), strip(F.lower(F.coalesce("title", F.lit(""))))
+    # papers without DOI are each a group of their own, so none of them is skewed
+    first = papers.withColumn("r", F.row_number().over(Window.partitionBy(*by, doi, F.when(doi == "", F.col(seq))).orderBy(seq))).filter((doi == "") | (F.col("r") == 1))
+    return first.withColumn("r", F.row_number().over(Window.partitionBy(*by, low).orderBy(seq))).filter("r = 1").drop("r")
+
+
+def dedup_in_order(papers: DataFrame, by: str, seq: str = "seq") -> DataFrame:
+    """The same within each search's answer."""
+    return dedup_by_keys(papers, seq, [by])
 
 
 def as_document(papers: DataFrame) -> DataFrame:

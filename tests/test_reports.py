@@ -82,6 +82,27 @@ def test_paths_and_reach(spark):
     assert {r["by"]: round(r["isolation"], 6) for r in tools.isolation(chain, papers, "topic", "paper_id", "seq").collect()} == {"t": 0.666667, "u": 0.0}
 
 
+def test_papers_are_kept_first_in_order(spark):
+    from quillspark.operators import evaluate, papers
+
+    rows = [("q", 1, "10/A", "One"), ("q", 2, "10/a", "Two"), ("q", 3, "10/A", "Three"), ("q", 4, None, " one "), ("q", 5, "", "THREE"), ("q", 6, "10/b", "Two"), ("q", 7, "10/b", "Four"), ("q", 8, None, ""), ("q", 9, None, None), ("p", 1, "10/A", "One")]
+    seen_doi, seen_title, want = set(), set(), []
+    for q, seq, doi, title in rows:
+        if doi and (q, doi) in seen_doi:
+            continue
+        seen_doi.add((q, doi))
+        if (q, (title or "").lower().strip()) in seen_title:
+            continue
+        seen_title.add((q, (title or "").lower().strip()))
+        want.append((q, seq))
+    d = spark.createDataFrame(rows, "q string, seq int, doi string, title string").repartition(4)
+    assert sorted((r["q"], r["seq"]) for r in papers.dedup_in_order(d, "q").collect()) == sorted(want)
+    topics = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 0.5)], "topic string, w double")
+    assert [tuple(r) for r in evaluate.best_topic(spark.createDataFrame([(1,)], "id int"), topics, F.col("w")).collect()] == [(1, "a", 1.0)]
+    with pytest.raises(ValueError, match="still move"):
+        graph.pagerank(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c")], "u string, v string"), rounds=2)
+
+
 def test_answers(spark):
     hits = spark.createDataFrame([(1, 0.5, 1), (2, None, 2)], "id int, score double, rank int")
     store = spark.createDataFrame([(1, "x" * 900, None, "s"), (2, "y", "T", None)], "id int, content string, title string, source string")
