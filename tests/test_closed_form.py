@@ -187,8 +187,8 @@ def test_papers(spark):
     assert {k: r["year"] for k, r in rows.items()} == {"semantic_scholar": 2020, "crossref": 2019, "pubmed": 2018, "arxiv": 2017}
     assert rows["crossref"]["abstract"] == "y"
     assert rows["arxiv"]["title"] == "A b"
-    assert papers.dedup_by_keys(got).count() == 3
-    assert papers.dedup_in_order(got.withColumn("q", F.lit(1)), "q").count() == 3
+    assert papers.dedup_by_keys(got).count() == 4
+    assert papers.dedup_in_order(got.withColumn("q", F.lit(1)), "q").count() == 4
     assert papers.as_document(got.filter("source_api = 'crossref'")).first()["content"] == "Other nets\n\ny"
 
 
