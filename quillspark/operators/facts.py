@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import EXTRACT_CAUSAL, EXTRACT_CONTRADICTION, EXTRACT_EXTENSION, PREDICATES
-from ..functions.text import sentences
+from ..functions.text import sentences, strip
 from .tools import named_in
 
-#: Patterns of pattern-based extraction, each with the type it finds.
+#: Patterns of pattern-based extraction, each with the type it finds and what is put before the name.
 ENTITY_PATTERNS = (
     ("METHOD", "(?i)\\b(CNN|RNN|LSTM|GRU|BERT|GPT|Transformer|ResNet|VGG|GAN)\\b"),
     ("METHOD", "(?i)\\b([A-Z][a-z]*(?:Net|Model|Network))\\b"),
     ("METHOD", "(?i)\\b(random forest|decision tree|support vector machine|neural network)\\b"),
     ("DATASET", "(?i)\\b(ImageNet|CIFAR-\\d+|MNIST|COCO|BraTS|GLUE|SQuAD|WikiText)\\b"),
-    ("METRIC", "(?i)\\b(accuracy|precision|recall|F1|BLEU|ROUGE|mAP|AUC)\\b"),
+    ("METRIC", "(?i)\\b(accuracy|precision|recall|F1[- ]score|AUC|ROC|Dice|IoU|BLEU|ROUGE)\\b"),
+    ("FINDING", "(?i)(?:achiev|obtain|reach|report)(?:es|ed|ing)?\\s+(?:an?\\s+)?(\\d+\\.?\\d*\\s*%)", "Result: "),
 )
 
 
@@ -96,23 +97,36 @@ def resolve_names(names: DataFrame, entities: DataFrame, name: str = "mention")
     return names.join(exact.join(near, name, "left").select(name, F.coalesce("entity_id", "near").alias("entity_id")), name, "left")
 
 
-def pattern_entities(docs: DataFrame, patterns: tuple[tuple[str, str], ...] = ENTITY_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, entity_type, name (first spelling), each once per document."""
-    def hit(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("entity_type"), x.alias("name")))
+def entities_in(text: Column, patterns: tuple[tuple[str, ...], ...] = ENTITY_PATTERNS) -> Column:
+    """All matches as an array of (entity_type, name), pattern by pattern; methods of one or two characters are left out."""
+
+    def hits(kind: str, pattern: str, before: str = "") -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("entity_type"), F.concat(F.lit(before), strip(x)).alias("name")))
+
+    return F.filter(F.concat(*[hits(*p) for p in patterns]), lambda x: (F.length(x["name"]) > 2) | (x["entity_type"] != "METHOD"))
 
-    hits = [hit(t, p) for t, p in patterns]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.concat(*hits), lambda x: (F.length(x["name"]) > 2) | (x["entity_type"] != "METHOD"))).alias("at", "e"))
+
+def pattern_entities(docs: DataFrame, patterns: tuple[tuple[str, ...], ...] = ENTITY_PATTERNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, entity_type, name (first spelling), each once per document."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(entities_in(F.col(text_col), patterns)).alias("at", "e"))
     return rows.groupBy("doc_id", F.col("e.entity_type").alias("entity_type"), F.lower("e.name").alias("low")).agg(F.min(F.struct("at", "e.name"))["name"].alias("name")).drop("low")
 
 
-def mentions(texts: DataFrame, entities: DataFrame, text_col: str = "sentence") -> DataFrame:
-    """texts with an array of the entities named in them, in entity order. entities is a broadcast dimension, of checked size."""
-    if entities.count() > 100_000:
-        raise ValueError("too many entities to compare each with each sentence; tokenise names and join by word")
-    dim = entities.agg(F.sort_array(F.collect_list(F.struct("seq", "entity_id", "entity_type", F.lower("name").alias("low")))).alias("dim"))
-    found = F.filter("dim", lambda e: F.lower(text_col).contains(e["low"]))
-    return texts.crossJoin(F.broadcast(dim)).withColumn("found", found).drop("dim")  # one row
+def mentions(texts: DataFrame, entities: DataFrame, text_col: str = "sentence", most: int = 2_000) -> DataFrame:
+    """texts with found, an array of the entities named in them, in entity order.
+
+    Up to most entities are broadcast and looked for in each text; more are joined with distinct texts by their names' first characters.
+    """
+    e = entities.select("seq", "entity_id", "entity_type", F.lower("name").alias("low"))
+    if e.limit(most + 1).count() <= most:
+        dim = e.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("dim"))
+        found = F.filter("dim", lambda x: F.lower(text_col).contains(x["low"]))
+        return texts.crossJoin(F.broadcast(dim)).withColumn("found", found).drop("dim")  # one row
+    rows = texts.withColumn("text_key", F.sha2(F.lower(text_col), 256))
+    hits = named_in(rows.select(F.col("text_key").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]), e.select(F.col("entity_id").alias("key"), F.col("low").alias("name")))
+    own = hits.join(e.withColumnRenamed("entity_id", "key"), "key").groupBy(F.col("id").alias("text_key")).agg(F.sort_array(F.collect_list(F.struct("seq", F.col("key").alias("entity_id"), "entity_type", "low"))).alias("found"))
+    out = rows.join(own, "text_key", "left").drop("text_key")
+    return out.withColumn("found", F.coalesce("found", F.array().cast(own.schema["found"].dataType)))
 
 
 def _first_marker(text: Column, markers: tuple[str, ...]) -> Column:
@@ -124,16 +138,27 @@ def pattern_relations(docs: DataFrame, entities: DataFrame, causal: tuple[str, .
 
     The first marker of a list wins. Causal and extending sentences relate the first two entities, contradicting ones the first two findings.
     """
-    s = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.col(text_col))).alias("sentence_no", "sentence"))
-    s = s.select("*", *[_first_marker(F.col("sentence"), m).alias(n) for n, m in (("causal", causal), ("contra", contradiction), ("ext", extension))]).filter("causal is not null or contra is not null or ext is not null")
-    s = mentions(s, entities).withColumn("findings", F.filter("found", lambda e: e["entity_type"] == "FINDING"))
+    s = marked_sentences(docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.col(text_col))).alias("sentence_no", "sentence")), causal, contradiction, extension)
+    return sentence_facts(mentions(s, entities), improving).select("doc_id", "sentence_no", "f.*", "evidence")
+
+
+def marked_sentences(rows: DataFrame, causal: tuple[str, ...], contradiction: tuple[str, ...], extension: tuple[str, ...]) -> DataFrame:
+    """rows whose sentence has a marker, with the first one of each list."""
+    lists = (("causal", causal), ("contra", contradiction), ("ext", extension))
+    return rows.select("*", *[_first_marker(F.col("sentence"), m).alias(n) for n, m in lists]).filter("causal is not null or contra is not null or ext is not null")
+
+
+def sentence_facts(rows: DataFrame, improving: tuple[str, ...]) -> DataFrame:
+    """A row per fact f of rows (sentence, its markers and found, its entities in order), with the sentence's beginning as evidence."""
+    s = rows.withColumn("findings", F.filter("found", lambda e: e["entity_type"] == "FINDING"))
 
     def fact(marker: str, of: str, predicate: Column, confidence: float) -> Column:
-        made = F.struct(F.element_at(of, 1)["entity_id"].alias("subject_id"), predicate.alias("predicate"), F.element_at(of, 2)["entity_id"].alias("object_id"), F.lit(confidence).alias("confidence"), F.col(marker).alias("marker"))
+        made = F.struct(F.get(of, F.lit(0))["entity_id"].alias("subject_id"), predicate.alias("predicate"), F.get(of, F.lit(1))["entity_id"].alias("object_id"), F.lit(confidence).alias("confidence"), F.col(marker).alias("marker"))
         return F.when(F.col(marker).isNotNull() & (F.size(of) >= 2), made)
 
-    facts = F.array(fact("causal", "found", F.when(F.col("causal").isin(*improving), "IMPROVES").otherwise("APPLIES_TO"), 0.6), fact("contra", "findings", F.lit("CONTRADICTS"), 0.5), fact("ext", "found", F.lit("EXTENDS"), 0.6))
-    return s.select("doc_id", "sentence_no", F.explode(F.array_compact(facts)).alias("f"), F.substring("sentence", 1, 100).alias("evidence")).select("doc_id", "sentence_no", "f.*", "evidence")
+    better = F.when(F.col("causal").isin(*improving), "IMPROVES").otherwise("APPLIES_TO")
+    facts = F.array(fact("causal", "found", better, 0.6), fact("contra", "findings", F.lit("CONTRADICTS"), 0.5), fact("ext", "found", F.lit("EXTENDS"), 0.6))
+    return s.select("*", F.explode(F.array_compact(facts)).alias("f"), F.substring("sentence", 1, 100).alias("evidence"))
 
 
 def cooccurrence(members: DataFrame, group: str, item: str, order: str, most: int = 20) -> DataFrame:

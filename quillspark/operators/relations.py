@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import CLASSIFY_CAUSAL, CLASSIFY_CONTRADICTION, CLASSIFY_EXTENSION
-from ..functions.text import sentences
+from ..functions.text import sentences, strip
 
 
 def relevant_sentences(text: Column, a: Column, b: Column, most: int = 5) -> Column:
@@ -48,3 +48,33 @@ def nli_contradiction(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Of logits both ways (contradiction first), the larger contradiction score: pair_id, score, contradicts, direction."""
     f, b = F.get(softmax(F.col("forward")), F.lit(0)), F.get(softmax(F.col("backward")), F.lit(0))
     return scores.select("pair_id", F.greatest(f, b).alias("score"), (F.greatest(f, b) >= threshold).alias("contradicts"), F.when(f >= b, "forward").otherwise("backward").alias("direction"))
+
+
+def claim_pairs(papers: DataFrame, topic: str = "topic", seq: str = "seq", most: int = 6, width: int = 300) -> DataFrame:
+    """topic, pair_id, paper_a, paper_b, claim_a, claim_b: each two of a topic's first most papers (paper_id, title, content), once.
+
+    A claim is the title and the beginning of the content. At most most * (most - 1) / 2 pairs a topic.
+    """
+    text = strip(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.substring(F.coalesce("content", F.lit("")), 1, width)))
+    first = papers.select(F.col(topic).alias("topic"), F.col("paper_id").cast("string").alias("id"), F.row_number().over(Window.partitionBy(topic).orderBy(seq, "paper_id")).alias("r"), text.alias("claim")).filter(F.col("r") <= most)
+    lists = first.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("r", "id", "claim"))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda a, i: F.transform(F.slice("l", i + 2, F.lit(most)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    out = lists.select("topic", F.explode(pairs).alias("p"))
+    key = lambda p: F.concat_ws("|", F.least(p["a"]["id"], p["b"]["id"]), F.greatest(p["a"]["id"], p["b"]["id"]))
+    once = out.withColumn("pair_id", key(F.col("p"))).withColumn("k", F.row_number().over(Window.partitionBy("topic", "pair_id").orderBy("p.a.r", "p.b.r"))).filter("k = 1")
+    return once.select("topic", "pair_id", F.col("p.a.id").alias("paper_a"), F.col("p.b.id").alias("paper_b"), F.col("p.a.claim").alias("claim_a"), F.col("p.b.claim").alias("claim_b"))
+
+
+def contradiction_indicators(pairs: DataFrame, scores: DataFrame, answers: DataFrame | None = None, width: int = 160) -> DataFrame:
+    """topic, detection_method, confidence, related_papers, evidence of pairs that scores (pair_id, score, contradicts) says contradict.
+
+    For a topic without one, answers (topic, answer) of a language model counts with 0.4 unless it says there is no contradiction.
+    """
+    told = pairs.join(scores.filter("contradicts").select("pair_id", "score").dropDuplicates(["pair_id"]), "pair_id")
+    evidence = F.array(F.concat(F.lit("Paper A: "), F.substring("claim_a", 1, width)), F.concat(F.lit("Paper B: "), F.substring("claim_b", 1, width)))
+    found = told.select("topic", F.lit("nli_cross_encoder").alias("detection_method"), F.round("score", 3).alias("confidence"), F.array("paper_a", "paper_b").alias("related_papers"), evidence.alias("evidence"))
+    if answers is None:
+        return found
+    silent = answers.filter(F.coalesce("answer", F.lit("")) != "").filter(~F.lower("answer").contains("no contradiction")).join(found.select("topic").distinct(), "topic", "left_anti")
+    said = silent.select("topic", F.lit("llm_nli").alias("detection_method"), F.lit(0.4).alias("confidence"), F.array().cast("array<string>").alias("related_papers"), F.array(F.substring("answer", 1, 500)).alias("evidence"))
+    return found.unionByName(said)
