@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.chunking import chunk_fixed
 from .operators import retrieval
-from .plans import corpus, evaluation, knowledge, logs, reports, search
+from .plans import corpus, evaluation, extraction, knowledge, logs, reports, search
 from .providers import hashed_embedding
 
-MODULES = (corpus, search, knowledge, evaluation, logs, reports)
+MODULES = (corpus, search, extraction, knowledge, evaluation, logs, reports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as ft
 from ..operators import gaps, graph, papers, recommend, relations, rules
+from .corpus import _SP, _STRIP
 from .views import ENTITIES, FACTS, PAPERS, entities, table
 from .views import facts as fact_view
 from .views import papers as paper_view
@@ -149,6 +150,21 @@ def relation_rows(s, d):
     return relations.classify(pairs, facts, CAUSAL, ("zzz",), EXT).select("pair_id", "relation", F.round("confidence", 6).alias("confidence"), "valid")
 
 
+_CLASSIFIED = f"""WITH d AS (SELECT doc_id, doc_id % 11 / 10.0 AS sim, doc_id % 7 = 0 AS nli, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, {_STRIP})), lambda x: length(x) > 0) AS s FROM documents),
+ h AS (SELECT *, list_filter(s, lambda x: contains(lower(x), 'that') AND contains(lower(x), 'onst')) AS joint, coalesce(list_position(list_transform(s, lambda x: contains(lower(x), 'that') OR contains(lower(x), 'onst')), TRUE), 0) AS hit FROM d),
+ e AS (SELECT *, left(array_to_string(list_slice(CASE WHEN len(joint) > 0 THEN joint WHEN hit > 0 THEN list_slice(s, greatest(1, hit - 1), hit + 1) ELSE [] END, 1, 5), ' '), 500) AS ev FROM h),
+ m AS (SELECT *, list_filter(['the', 'and'], lambda w: contains(lower(ev), w)) AS causal, contains(lower(ev), 'with') AS ext FROM e),
+ k AS (SELECT *, CASE WHEN nli THEN 'CONTRADICTION' WHEN len(causal) > 0 THEN 'CAUSAL' WHEN ext THEN 'EXTENSION' ELSE 'CO_OCCURRENCE' END AS rel, CASE WHEN len(causal) > 0 THEN len(causal) WHEN ext THEN 1 ELSE 0 END + CASE WHEN nli THEN 1 ELSE 0 END AS n FROM m)
+SELECT CAST(doc_id AS VARCHAR) AS pair_id, CASE WHEN sim < 0.3 THEN 'UNKNOWN' ELSE rel END AS relation, CAST(round(CASE WHEN sim < 0.3 THEN sim WHEN rel = 'CO_OCCURRENCE' THEN least(sim * 0.5, 0.5) ELSE least(1, sim * 0.3 + least(n * 0.1, 0.4) + 0.3) END, 6) AS DOUBLE) AS confidence, TRUE AS valid FROM k"""
+
+_GRAPH = f"""WITH RECURSIVE {_EDGES}, nd AS (SELECT u AS node FROM e UNION SELECT v FROM e), w AS (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e),
+ r AS (SELECT node AS a, node AS b FROM nd UNION SELECT r.a, w.b FROM r JOIN w ON w.a = r.b), c AS (SELECT count(DISTINCT m) AS c FROM (SELECT a, min(b) AS m FROM r GROUP BY a)), n AS (SELECT count(*) AS n FROM nd), k AS (SELECT count(*) AS k FROM (SELECT DISTINCT u, v FROM e))
+SELECT n AS nodes, k AS edges, k / n AS edges_per_node, k / (n * (n - 1)) AS density, c AS components, c = 1 AS connected FROM c, n, k"""
+
+_DIVERSE = f"""WITH {PAPERS}, r AS (SELECT topic, paper_id, row_number() OVER (PARTITION BY topic ORDER BY seq) AS r, list_distinct(regexp_split_to_array(lower(title), '\\s+')) AS ws FROM papers),
+ w AS (SELECT topic, paper_id, r, unnest(ws) AS w FROM r), f AS (SELECT topic, w, min(r) AS f FROM w GROUP BY ALL), n AS (SELECT paper_id, count(*) FILTER (WHERE f < r) AS n FROM w JOIN f USING (topic, w) GROUP BY paper_id)
+SELECT paper_id, CAST(round(CASE WHEN n > 1 THEN greatest(0, 0.9 - n * 0.3 * 0.1) ELSE 0.9 END, 6) AS DOUBLE) AS score FROM n"""
+
 QUERIES = {
     "kg_stats": (kg_stats, _STATS),
     "spo_query": (lambda s, d: ft.query_facts(fact_view(s, d), predicate="IMPROVES", min_confidence=0.95, include_inferred=False).select("fact_id", "subject_id", "object_id"), f"WITH {FACTS} SELECT fact_id, subject_id, object_id FROM facts WHERE predicate = 'IMPROVES' AND confidence >= 0.95 AND NOT is_inferred"),
@@ -165,7 +181,7 @@ QUERIES = {
         lambda s, d: ft.cooccurrence(table(s, d, "lineitem"), "l_orderkey", "l_partkey", "l_linenumber"),
         "WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS o FROM lineitem GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, l_partkey) AS r FROM f) SELECT a.l_orderkey, a.l_partkey AS a, b.l_partkey AS b FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.r < b.r WHERE b.r <= 20",
     ),
-    "relation_classify": (relation_rows, None),
+    "relation_classify": (relation_rows, _CLASSIFIED),
     "rule_results": (rule_rows, _RULES),
     "claim_verdicts": (verdicts, _VERDICTS),
     "degree": (lambda s, d: graph.degrees(edges(s, d)), f"WITH {_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT u AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT v, 1, 0 FROM e) GROUP BY node"),
@@ -178,7 +194,7 @@ QUERIES = {
     "components": (lambda s, d: graph.connected_components(edges(s, d)).withColumnRenamed("label", "component"), f"WITH RECURSIVE {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), h AS (SELECT u AS node, u AS r FROM b UNION SELECT b.v, r FROM h JOIN b ON b.u = h.node) SELECT node, min(r) AS component FROM h GROUP BY node"),
     "label_propagation": (lambda s, d: graph.label_propagation(edges(s, d), 5), None),
     "modularity": (lambda s, d: graph.modularity_communities(edges(s, d).withColumn("weight", F.lit(1.0))), None),
-    "graph_stats": (lambda s, d: graph.statistics(edges(s, d)), None),
+    "graph_stats": (lambda s, d: graph.statistics(edges(s, d)), _GRAPH),
     "jaccard_pairs": (
         lambda s, d: gaps.jaccard_pairs(paper_view(s, d).groupBy("topic").agg(F.collect_set("title").alias("t")), "topic", "t").withColumn("jaccard", F.round("jaccard", 6)),
         f"WITH {PAPERS}, t AS (SELECT topic, list_distinct(list(title)) AS t FROM papers GROUP BY topic), j AS (SELECT a.topic AS a, b.topic AS b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS jac FROM t a JOIN t b ON a.topic < b.topic) SELECT a, b, round(jac, 6) AS jaccard FROM j WHERE jac > 0.3",
@@ -208,7 +224,7 @@ SELECT topic, string_agg(aspect, ',' ORDER BY aspect) AS missing, count(*) AS n_
         lambda s, d: recommend.reading_order(paper_view(s, d), by="topic").select("paper_id", "position", "note"),
         f"WITH {PAPERS}, r AS (SELECT paper_id, row_number() OVER (PARTITION BY topic ORDER BY year, seq) AS p, count(*) OVER (PARTITION BY topic) AS n FROM papers) SELECT paper_id, CAST(p AS INTEGER) AS position, CASE WHEN p = 1 THEN 'start' WHEN p - 1 < n // 2 THEN 'core' ELSE 'recent' END AS note FROM r",
     ),
-    "diversified": (lambda s, d: recommend.diversified(paper_view(s, d).select("topic", "paper_id", "title", F.lit(0.9).alias("score"), F.row_number().over(Window.partitionBy("topic").orderBy("seq")).alias("rank")), by="topic", free=1).select("paper_id", F.round("score", 6).alias("score")), None),
+    "diversified": (lambda s, d: recommend.diversified(paper_view(s, d).select("topic", "paper_id", "title", F.lit(0.9).alias("score"), F.row_number().over(Window.partitionBy("topic").orderBy("seq")).alias("rank")), by="topic", free=1).select("paper_id", F.round("score", 6).alias("score")), _DIVERSE),
     "paper_relevance": (
         lambda s, d: paper_view(s, d).select("paper_id", F.round(papers.relevance(F.col("title"), F.col("topic"), F.col("year") - 2000, "small red brand"), 6).alias("score")),
         f"WITH {PAPERS} SELECT paper_id, round(3 * len(list_filter(['small', 'red', 'brand'], lambda t: contains(lower(title), t))) / 3 + len(list_filter(['small', 'red', 'brand'], lambda t: contains(lower(topic), t))) / 3 + least(year - 2000, 100) / 1000, 6) AS score FROM papers",
