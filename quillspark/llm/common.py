@@ -121,6 +121,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tasks_for(df: DataFrame, mb: int = 256, most: int = 20_000) -> int:
+    """Tasks for a shuffle of df: four a core, and more where the plan's size gives one more than mb; most bounds what a range exchange samples."""
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # a plan of unknown size says 2^63 - 1, or products of that
+    return least if size >= 1 << 60 else max(least, min(most, size // (mb << 20)))
+
+
 def spread(df: DataFrame, n_groups: int, *by: str) -> DataFrame:
     """df dealt by its groups to a fixed number of tasks: few bytes can be much work, which adaptive merging doesn't see."""
     return df.repartition(max(1, min(n_groups, 4 * df.sparkSession.sparkContext.defaultParallelism)), *by)

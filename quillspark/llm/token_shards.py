@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import product_path, shuffles_dropped, small_batches, staged
+from .common import product_path, shuffles_dropped, small_batches, staged, tasks_for
 from .tokens import encoder
 
 ROUNDS = 4
@@ -88,7 +88,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int, width: int, end_id:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # rows alike in all else change places freely: the last key only lets a range end among them
     rows = rows.withColumn("h", F.xxhash64("t")).withColumn("tie", F.monotonically_increasing_id())
-    n_tasks = n_tasks or 4 * spark.sparkContext.defaultParallelism
+    n_tasks = n_tasks or tasks_for(rows)
     order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("tie").asc()]
     rows = rows.repartitionByRange(n_tasks, *order).sortWithinPartitions(*order[:2], "t")
     return rows.select("doc_id", "t").mapInArrow(cut, SEQUENCES)
@@ -118,7 +118,7 @@ def token_shards(docs: DataFrame, tokenizer: str, path: str | None = None, lengt
     slot = feistel_slots(F.col("before") + F.col("place"), max(1, total), key)
     slotted = made.join(F.broadcast(spark.createDataFrame(before, "task int, before long")), "task").withColumn("slot", slot)
     slotted = slotted.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    n_writers = 4 * spark.sparkContext.defaultParallelism
+    n_writers = tasks_for(made)
     for wave in range(waves):
         low, high = n_shards * wave // waves, n_shards * (wave + 1) // waves
         if low == high:

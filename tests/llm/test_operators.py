@@ -23,7 +23,7 @@ from quillspark.llm import site_quality as sq
 from quillspark.llm import source_mix as sm
 from quillspark.llm import substring_dedup as sd
 from quillspark.llm import token_shards as ts
-from quillspark.llm.common import WordHashes, windows_hash
+from quillspark.llm.common import WordHashes, tasks_for, windows_hash
 from quillspark.llm.queries import tokenizer_path
 
 # columns named like those that operators make
@@ -602,6 +602,15 @@ def test_token_shards(spark, docs, empty, ids, tmp_path):
     assert ts.read_manifest(spark, f"{path}-none")["n_sequences"] == 0
 
 
+def test_tasks_grow_with_the_plan(spark, docs):
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert tasks_for(docs.limit(5)) == tasks_for(spark.range(10)) == least
+    big = spark.range(10**10)
+    assert tasks_for(big) == 8 * 10**10 // (256 << 20) and tasks_for(big, most=100) == 100
+    # a product of unknown sizes has no known size
+    assert tasks_for(big.crossJoin(big.toDF("b"))) == least
+
+
 def test_token_shards_of_repeated_rows_and_null_ids(spark):
     rows = [(None, "a b"), (None, "a b"), (None, None), (3, "c"), (3, "c"), (3, "d d"), (2, "")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit(9)).withColumn("ids", F.lit(1))
