@@ -176,3 +176,18 @@ def modularity_communities(links: DataFrame, max_nodes: int = 2000) -> DataFrame
         yield pd.DataFrame([(n, i) for i, g in enumerate(groups) for n in sorted(g)], columns=["node", "cluster"])
 
     return links.select("u", "v", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInPandas(merge, "node string, cluster int")
+
+
+def node_view(nodes: DataFrame, links: DataFrame, search: str = "", selected: str | None = None) -> DataFrame:
+    """nodes (node, label, weight) with radius by weight, and dimmed: not named by search, or not beside the selected node."""
+    top = nodes.agg(F.greatest(F.lit(1.0), F.max(F.coalesce("weight", F.lit(1)).cast("double"))).alias("top"))  # one row
+    rows = nodes.crossJoin(F.broadcast(top)).withColumn("radius", 3 + 9 * F.sqrt(F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)) / F.col("top"))).drop("top")
+    wanted = search.strip().lower()
+    dimmed = F.lit(False) if not wanted else ~F.coalesce(F.lower("label").contains(wanted), F.lit(False))
+    if selected is not None:
+        ends = F.when(F.col("u") == selected, F.col("v")).otherwise(F.col("u"))
+        near = links.filter((F.col("u") == selected) | (F.col("v") == selected)).select(ends.alias("node")).distinct().withColumn("near", F.lit(True))
+        rows = rows.join(near, "node", "left")
+        dimmed = dimmed | ~(F.coalesce("near", F.lit(False)) | (F.col("node") == selected))
+        return rows.withColumn("dimmed", dimmed).drop("near")
+    return rows.withColumn("dimmed", dimmed)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TERMINAL = ("completed", "failed", "cancelled")
-SENSITIVE = ("authorization", "password", "token", "api_key", "secret", "cookie")
+#: States of jobs that run or are to run, what an interrupted one says, and keys whose values are content.
+ACTIVE = ("processing", "running", "queued", "started")
+INTERRUPTED = "Server di-restart saat analisis berjalan"
+SENSITIVE = ("content", "document", "documents", "message", "messages", "prompt", "query", "raw", "response", "text", "traceback")
 
 
 def latest(log: DataFrame, key: str, revision: str) -> DataFrame:
@@ -60,7 +66,54 @@ def sanitised(payload: Column, sensitive: tuple[str, ...] = SENSITIVE, most: int
     return F.transform_values(F.map_filter(payload, lambda k, _: ~F.lower(k).isin(*sensitive)), lambda _, v: F.substring(v, 1, most))
 
 
+def sanitised_json(payload: Column, sensitive: tuple[str, ...] = SENSITIVE, most: int = 160) -> Column:
+    """A JSON object at any depth without sensitive keys: strings cut, lists as their lengths. What is no object is null.
+
+    Built-in functions don't recurse, so texts go by Arrow batches.
+    """
+
+    def safe(value: object) -> object:
+        if isinstance(value, dict):
+            return {k: safe(v) for k, v in value.items() if k.lower() not in sensitive}
+        if isinstance(value, list):
+            return len(value)
+        return value[:most] if isinstance(value, str) else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            value = json.loads(text or "null")
+        except ValueError:
+            return None
+        return json.dumps(safe(value), ensure_ascii=False) if isinstance(value, dict) else None
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return clean(payload)
+
+
 def conversation(messages: DataFrame, now: Column, ttl_seconds: int, n: int = 10) -> DataFrame:
     """The last n messages of conversations that haven't expired: each message renews the time to live."""
     live = messages.groupBy("conversation_id").agg(F.max("created_at").alias("t")).filter(F.col("t") + F.make_dt_interval(secs=F.lit(ttl_seconds)) > now).select("conversation_id")
     return last_messages(messages.join(live, "conversation_id", "left_semi"), n, "conversation_id", "message_id")
+
+
+def request_log(requests: DataFrame) -> DataFrame:
+    """request_id (made where there is none), event, method, path, status, duration_ms of requests (request_id, method, path, status, started, ended).
+
+    A request without a status has failed. No header or body is kept.
+    """
+    made = F.md5(F.concat_ws("|", "method", "path", F.col("started").cast("string")))
+    ms = F.floor((F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))) / 1000).cast("long")
+    event = F.when(F.col("status").isNull(), "request_failed").otherwise("request_completed")
+    return requests.select(F.coalesce("request_id", made).alias("request_id"), event.alias("event"), "method", "path", "status", ms.alias("duration_ms"))
+
+
+def legacy_jobs(raw: DataFrame, col: str = "raw", active: tuple[str, ...] = ACTIVE, status: str = "queued", message: str = INTERRUPTED) -> DataFrame:
+    """job_id, status, message, error, payload of stores that are one JSON object of jobs; active ones are to run again. What is no object has no jobs."""
+    jobs = F.from_json(col, "map<string,string>")
+    rows = raw.select(F.explode(jobs).alias("job_id", "payload")).filter(F.ltrim("payload").startswith("{"))
+    one = rows.withColumn("j", F.from_json("payload", "struct<status:string,message:string,error:string>"))
+    running = F.col("j.status").isin(*active)
+    return one.select("job_id", F.when(running, status).otherwise(F.col("j.status")).alias("status"), F.when(running, message).otherwise(F.col("j.message")).alias("message"), F.when(~F.coalesce(running, F.lit(False)), F.col("j.error")).alias("error"), "payload")

@@ -65,3 +65,40 @@ def from_gaps(gaps: DataFrame, most: int = 5) -> DataFrame:
     first = gaps.orderBy("seq").limit(most).withColumn("position", r)
     action = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), F.col("type")), F.lit("Examine the gap"))
     return first.select("position", "type", action.alias("title"), "description", F.when(F.col("position") <= 2, "high").when(F.col("position") <= 4, "medium").otherwise("low").alias("priority"))
+
+
+def strategy(name: str, **made: DataFrame) -> DataFrame:
+    """The list of a strategy: content, graph or gap_aware as it is given; any other name is hybrid, of the lists that are there."""
+    if name in ("content", "graph", "gap_aware") and name in made:
+        return made[name]
+    k = made.pop("k", 10)
+    return hybrid(made, k)
+
+
+def gap_words(gaps: DataFrame, text: str = "description", by: str | None = None) -> DataFrame:
+    """(by,) word: the distinct words of five letters or more that describe gaps."""
+    words = gaps.select(*([by] if by else []), F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), "\\s+")).alias("word"))
+    return words.filter(F.length("word") > 4).distinct()
+
+
+def agent_list(candidates: DataFrame, gaps: DataFrame, k: int, by: str, weight: float = 0.3, per_word: float = 0.1, free: int = 3) -> DataFrame:
+    """The best k of each list (by) of candidates (id, title, abstract, year, keywords, score, rank), which are top-ks.
+
+    Scores rise by the words of the list's gaps (by, description) in title or abstract, 1 at most; then titles that repeat
+    earlier ones lose, and the rest go by score. reason says why: score, year, keywords and gaps, in that order.
+    """
+    words = gap_words(gaps, "description", by).groupBy(by).agg(F.collect_list("word").alias("words"))
+    rows = candidates.join(words, by, "left").withColumn("title", F.coalesce("title", F.lit("Unknown")))
+    low_title, low_text = F.lower("title"), F.lower(F.coalesce("abstract", F.lit("")))
+    named = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.contains(low_title, w) | F.contains(low_text, w)))
+    told = F.concat_ws(
+        "; ", F.when(F.col("score") > 0.8, "Highly relevant to your query").when(F.col("score") > 0.6, "Relevant to your research area"),
+        F.when(F.col("year") >= 2020, F.concat(F.lit("Recent publication ("), F.col("year").cast("string"), F.lit(")"))),
+        F.when(F.size("keywords") > 0, "Matches key research themes"), F.when(F.col("words").isNotNull(), "Addresses identified research gaps"),
+    )
+    rows = rows.withColumn("n_gaps", named).withColumn("reason", F.when(told == "", "Relevant to your query").otherwise(told))
+    rows = rows.withColumn("reason", F.when(F.col("n_gaps") > 0, F.concat("reason", F.lit(" | Addresses "), F.col("n_gaps").cast("string"), F.lit(" identified gap(s)"))).otherwise(F.col("reason")))
+    rows = rows.withColumn("score", F.when(F.col("n_gaps") > 0, F.least(F.lit(1.0), F.col("score") + F.col("n_gaps") * per_word)).otherwise(F.col("score")))
+    fresh = diversified(rows.drop("words"), "title", weight, free, by) if weight > 0 else rows.drop("words")
+    order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 12)), "old_rank")
+    return fresh.withColumnRenamed("rank", "old_rank").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

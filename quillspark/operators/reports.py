@@ -139,3 +139,22 @@ def means(rows: DataFrame, by: list[str], values: list[str], places: int) -> Dat
 def file_digests(files: DataFrame) -> DataFrame:
     """path, sha256, n_bytes of binary files: what a run was made from."""
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("n_bytes"))
+
+
+def groups_by_basis(papers: DataFrame, by: str, seq: str = "seq") -> DataFrame:
+    """by, basis, titles in order, n: the papers of one analysis by their basis, Lainnya where there is none."""
+    basis = F.coalesce(F.trim("basis"), F.lit("Lainnya"))
+    groups = papers.groupBy(by, basis.alias("basis")).agg(F.sort_array(F.collect_list(F.struct(seq, "title"))).alias("l"))
+    return groups.select(by, "basis", F.transform("l", lambda x: x["title"]).alias("titles"), F.size("l").alias("n"))
+
+
+def primary(rows: DataFrame, by: str, gap: str = "confidence", seq: str = "seq") -> DataFrame:
+    """by, and the first row of the highest gap score: the gap that a proposal answers."""
+    best = rows.groupBy(by).agg(F.min(F.struct((-F.coalesce(gap, F.lit(0.0))).alias("minus"), *[c for c in (seq, *(x for x in rows.columns if x not in (by, seq)))])).alias("b"))
+    return best.select(by, *[F.col(f"b.{c}") for c in rows.columns if c != by])
+
+
+def primary_recommendation(rows: DataFrame, by: str, seq: str = "seq") -> DataFrame:
+    """by, and the first recommendation of high priority, else the first."""
+    best = rows.groupBy(by).agg(F.min(F.struct(F.when(F.col("priority") == "high", 0).otherwise(1).alias("late"), *[c for c in (seq, *(x for x in rows.columns if x not in (by, seq)))])).alias("b"))
+    return best.select(by, *[F.col(f"b.{c}") for c in rows.columns if c != by])

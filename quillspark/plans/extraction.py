@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers
-from ..operators import extract, relations, retrieval
+from ..operators import extract, graph, recommend, relations, reports, retrieval
 from .corpus import _SP, _STRIP
 from .views import PAPERS, papers, table
 
@@ -101,6 +102,38 @@ _LISTED = f"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp
  t AS (SELECT *, rtrim(trim(string_split(x, chr(10))[1], {_STRIP}), ':') AS title, trim(substr(x, length(string_split(x, chr(10))[1]) + 1), {_STRIP}) AS rest FROM i)
 SELECT conv_id, turn, CAST(place AS INTEGER) AS place, left(title, 200) AS title, CASE WHEN rest <> '' THEN rest ELSE title END AS description FROM t"""
 
+
+
+def agent_rows(s, d):
+    """A topic's papers as its candidates, and each fifth paper's title as what a gap of its topic says."""
+    p = papers(s, d)
+    score = (F.col("seq") % 100) / 100
+    cand = p.select("topic", F.col("paper_id").alias("id"), "title", F.col("content").alias("abstract"), (F.col("year") + 10).alias("year"), "keywords", score.alias("score"), F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(score), "seq")).alias("rank"))
+    gaps = p.filter("seq % 50 = 0").select("topic", F.col("title").alias("description"))
+    return recommend.agent_list(cand, gaps, 10, "topic", free=1).select("topic", "id", F.round("score", 6).alias("score"), "reason", "rank")
+
+
+_AGENT = f"""WITH {PAPERS}, w AS (SELECT topic, list(DISTINCT x) AS ws FROM (SELECT topic, unnest(regexp_split_to_array(lower(title), '\\s+')) AS x FROM papers WHERE seq % 50 = 0) WHERE length(x) > 4 GROUP BY topic),
+ c AS (SELECT p.topic, paper_id AS id, title, year + 10 AS year, seq % 100 / 100 AS s, row_number() OVER (PARTITION BY p.topic ORDER BY seq % 100 DESC, seq) AS r, len(list_filter(coalesce(ws, []), lambda x: contains(lower(title), x))) AS n, ws IS NOT NULL AS has, list_distinct(regexp_split_to_array(lower(title), '\\s+')) AS own FROM papers p LEFT JOIN w ON w.topic = p.topic),
+ b AS (SELECT *, CASE WHEN n > 0 THEN least(1, s + n * 0.1) ELSE s END AS bs, concat_ws('; ', CASE WHEN s > 0.8 THEN 'Highly relevant to your query' WHEN s > 0.6 THEN 'Relevant to your research area' END, CASE WHEN year >= 2020 THEN 'Recent publication (' || year || ')' END, 'Matches key research themes', CASE WHEN has THEN 'Addresses identified research gaps' END) || CASE WHEN n > 0 THEN ' | Addresses ' || n || ' identified gap(s)' ELSE '' END AS reason FROM c),
+ o AS (SELECT topic, id, r, unnest(own) AS x FROM b), f AS (SELECT topic, x, min(r) AS f FROM o GROUP BY ALL), k AS (SELECT topic, id, count(*) FILTER (WHERE f < r) AS k FROM o JOIN f USING (topic, x) GROUP BY ALL),
+ z AS (SELECT b.topic, b.id, reason, r, CASE WHEN k > 1 THEN greatest(0, bs - k * 0.3 * 0.1) ELSE bs END AS sc FROM b JOIN k ON k.topic = b.topic AND k.id = b.id),
+ t AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(sc, 12) DESC, r) AS rank FROM z) SELECT topic, id, CAST(round(sc, 6) AS DOUBLE) AS score, reason, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10"""
+
+
+def viewed(s, d):
+    """Nations and suppliers as nodes, one nation selected, a number searched."""
+    nodes = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.col("n_name").alias("label"), F.lit(None).cast("long").alias("weight"))
+    nodes = nodes.unionByName(table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_name").alias("label"), (F.col("s_suppkey") % 50 + 1).cast("long").alias("weight")))
+    links = table(s, d, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("u"), F.concat(F.lit("s"), "s_suppkey").alias("v"))
+    return graph.node_view(nodes, links, " 1 ", "n3").select("node", F.round("radius", 6).alias("radius"), "dimmed")
+
+
+_VIEWED = """WITH n AS (SELECT 'n' || n_nationkey AS node, n_name AS label, 1 AS w FROM nation UNION ALL SELECT 's' || s_suppkey, s_name, s_suppkey % 50 + 1 FROM supplier)
+SELECT node, round(3 + 9 * sqrt(w / (SELECT max(w) FROM n)), 6) AS radius, NOT contains(label, '1') OR NOT (node = 'n3' OR node IN (SELECT 's' || s_suppkey FROM supplier WHERE s_nationkey = 3)) AS dimmed FROM n"""
+
+_gaps = lambda s, d: table(s, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 97 / 100).alias("confidence"), F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("priority"))
+
 QUERIES = {
     "extracted_entities": (lambda s, d: extracted(s, d).entities.select("entity_id", "entity_type", "name", "source_paper"), _ENTITIES),
     "extracted_facts": (lambda s, d: extracted(s, d).facts.select("source_paper", "place", "subject_id", "predicate", "object_id", "confidence"), _FACTS),
@@ -109,4 +142,12 @@ QUERIES = {
     "retrieve": (retrieved, _RETRIEVED),
     "claim_pairs": (lambda s, d: relations.claim_pairs(papers(s, d)), _PAIRS),
     "answer_items": (listed, _LISTED),
+    "agent_recommend": (agent_rows, _AGENT),
+    "node_view": (viewed, _VIEWED),
+    "basis_groups": (
+        lambda s, d: reports.groups_by_basis(papers(s, d).select("topic", "title", "seq", F.when(F.col("seq") % 3 > 0, F.concat(F.lit(" b"), F.col("seq") % 3)).alias("basis")), "topic").select("topic", "basis", "n", F.md5(F.array_join("titles", "|")).alias("titles_md5")),
+        f"WITH {PAPERS} SELECT topic, CASE WHEN seq % 3 > 0 THEN 'b' || (seq % 3) ELSE 'Lainnya' END AS basis, CAST(count(*) AS INTEGER) AS n, md5(string_agg(title, '|' ORDER BY seq)) AS titles_md5 FROM papers GROUP BY ALL",
+    ),
+    "primary_gap": (lambda s, d: reports.primary(_gaps(s, d), "job").select("job", "seq"), "SELECT o_custkey AS job, min_by(o_orderkey, (-(o_orderkey % 97), o_orderkey)) AS seq FROM orders GROUP BY 1"),
+    "primary_recommendation": (lambda s, d: reports.primary_recommendation(_gaps(s, d), "job").select("job", "seq"), "SELECT o_custkey AS job, min_by(o_orderkey, (CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey)) AS seq FROM orders GROUP BY 1"),
 }

@@ -39,5 +39,13 @@ QUERIES = {
         lambda s, d: stream.sessions(_ev(s, d), "6 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest")),
         "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT user_id, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS m FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(m) AS longest FROM c GROUP BY user_id",
     ),
-    "sanitised_payload": (lambda s, d: _ev(s, d).select("event_id", F.to_json(jobs.sanitised(F.create_map(F.lit("Token"), F.lit("x"), F.lit("type"), F.col("event_type")))).alias("payload")), "SELECT event_id, '{\"type\":\"' || event_type || '\"}' AS payload FROM events"),
+    "sanitised_payload": (lambda s, d: _ev(s, d).select("event_id", F.to_json(jobs.sanitised(F.create_map(F.lit("Text"), F.lit("x"), F.lit("type"), F.col("event_type")))).alias("payload")), "SELECT event_id, '{\"type\":\"' || event_type || '\"}' AS payload FROM events"),
+    "sanitised_events": (
+        lambda s, d: _ev(s, d).select("event_id", jobs.sanitised_json(F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.col("event_type").alias("Prompt"), F.repeat("event_type", F.lit(60)).alias("long")).alias("inner"), F.array("event_type", F.lit("x")).alias("tags")))).alias("payload")),
+        """SELECT event_id, '{"type": "' || event_type || '", "inner": {"long": "' || left(repeat(event_type, 60), 160) || '"}, "tags": 2}' AS payload FROM events""",
+    ),
+    "request_log": (
+        lambda s, d: jobs.request_log(_ev(s, d).select(F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("r"), F.col("event_id"))).alias("request_id"), F.lit("GET").alias("method"), "event_type", F.when(F.col("event_type") != "error", 200).alias("status"), F.col("ts").alias("started"), (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, (event_id % 5000) / 1000.0)")).alias("ended")).withColumnRenamed("event_type", "path")).select("event", "path", "status", "duration_ms", F.when(F.col("request_id").startswith("r"), F.col("request_id")).alias("request_id")),
+        "SELECT CASE WHEN event_type = 'error' THEN 'request_failed' ELSE 'request_completed' END AS event, event_type AS path, CASE WHEN event_type <> 'error' THEN 200 END AS status, event_id % 5000 AS duration_ms, CASE WHEN event_id % 3 > 0 THEN 'r' || event_id END AS request_id FROM events",
+    ),
 }

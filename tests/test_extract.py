@@ -118,3 +118,22 @@ def test_other_answers(spark):
     r = _one(spark, answers.roadmap, "**Plan**\nFase 1: Theory\n- read papers\n1. write more\n\n## Phase 2 -\n* build it")
     assert [tuple(x) for x in r] == [("Theory", ["read papers", "write more"]), ("Tahap 2", ["build it"])]
     assert [tuple(x) for x in _one(spark, answers.roadmap, "Here is the plan\n- read papers\n")] == [("Rencana Penelitian", ["read papers"])]
+
+
+def test_legacy_jobs_and_nested_payloads(spark):
+    from quillspark.operators import jobs
+
+    raw = spark.createDataFrame([('{"a": {"status": "running", "error": "x"}, "b": {"status": "completed", "message": "m", "error": "e"}, "c": 3}',), ("[1]",), (None,)], "raw string")
+    got = {r["job_id"]: (r["status"], r["message"], r["error"]) for r in jobs.legacy_jobs(raw).collect()}
+    assert got == {"a": ("queued", jobs.INTERRUPTED, None), "b": ("completed", "m", "e")}
+    p = spark.createDataFrame([('{"Text": 1, "k": {"raw": 2, "l": [1, 2], "s": "' + "y" * 200 + '"}}',), ("[]",), ("{",), (None,)], "p string")
+    out = [r[0] for r in p.select(jobs.sanitised_json(F.col("p"))).collect()]
+    assert json.loads(out[0]) == {"k": {"l": 2, "s": "y" * 160}} and out[1:] == [None, None, None]
+
+
+def test_strategy_of_lists(spark):
+    from quillspark.operators import recommend
+
+    a = spark.createDataFrame([("x", 0.4), ("y", 0.2)], "id string, score double")
+    assert recommend.strategy("content", content=a) is a
+    assert [(r["id"], round(r["score"], 6)) for r in recommend.strategy("other", content=a, graph=a, k=1).collect()] == [("x", 0.32)]
