@@ -137,3 +137,13 @@ def test_strategy_of_lists(spark):
     a = spark.createDataFrame([("x", 0.4), ("y", 0.2)], "id string, score double")
     assert recommend.strategy("content", content=a) is a
     assert [(r["id"], round(r["score"], 6)) for r in recommend.strategy("other", content=a, graph=a, k=1).collect()] == [("x", 0.32)]
+
+
+def test_weakness_windows(spark):
+    from quillspark.functions import chunking
+
+    body, late = "x" * 2000, "y" * 1300
+    rows = [(0, f"Intro text.\nLimitations\n{body}"), (1, f"{body}\nConclusion\n{late}"), (2, f"Conclusion\n{body}"), (3, "z" * 5000), (4, None), (5, "")]
+    got = {r["doc_id"]: r["excerpt"] for r in chunking.weakness_windows(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    # a generic header counts past 40 % of the text only; without a header the text's end does
+    assert got == {0: rows[0][1][12:1512], 1: rows[1][1][2001:3201], 2: rows[2][1], 3: "z" * 4000, 4: "", 5: ""}
