@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = (("content", 0.5), ("graph", 0.3), ("gap", 0.2))
@@ -36,12 +38,21 @@ def hybrid(lists: dict[str, DataFrame], k: int, weights: tuple[tuple[str, float]
 
 
 def diversified(hits: DataFrame, title: str = "title", weight: float = 0.3, free: int = 3, by: str | None = None) -> DataFrame:
-    """hits (score, rank) with score less a penalty for words shared with all earlier titles, if more than free; not under 0. hits is a top-k."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    """hits (score, rank) with score less a penalty for words shared with all earlier titles, if more than free; not under 0.
+
+    A word is shared where its first title stands earlier, so titles are compared with one row a word and list, not with each other.
+    """
+    lists = [by] if by else []
     own = F.array_distinct(F.split(F.lower(F.coalesce(title, F.lit(""))), "\\s+"))
-    df = hits.withColumn("own", own)
-    n = F.size(F.array_intersect("own", F.coalesce(F.flatten(F.collect_list("own").over(w)), F.array().cast("array<string>"))))
-    return df.withColumn("shared", n).withColumn("score", F.when(F.col("shared") > free, F.greatest(F.lit(0.0), F.col("score") - F.col("shared") * weight * 0.1)).otherwise(F.col("score"))).drop("own")
+    first = hits.select(*lists, F.explode(own).alias("word"), F.col("rank").alias("r")).groupBy(*lists, "word").agg(F.min("r").alias("r"))
+    # the row goes with its first word; the others have its number
+    rows = hits.withColumn("row_no", F.monotonically_increasing_id())
+    words = rows.select("row_no", *[F.col(c).alias(f"list_{c}") for c in lists], F.col("rank").alias("at"), F.struct(*hits.columns).alias("hit"), F.posexplode(own).alias("i", "w"))
+    words = words.withColumn("hit", F.when(F.col("i") == 0, F.col("hit")))
+    met = words.join(first, reduce(Column.__and__, [F.col(f"list_{c}").eqNullSafe(F.col(c)) for c in lists], F.col("w") == F.col("word")), "left")
+    got = met.groupBy("row_no").agg(F.first("hit", ignorenulls=True).alias("hit"), F.count_if(F.col("r") < F.col("at")).cast("int").alias("shared"))
+    df = got.select("hit.*", "shared")
+    return df.withColumn("score", F.when(F.col("shared") > free, F.greatest(F.lit(0.0), F.col("score") - F.col("shared") * weight * 0.1)).otherwise(F.col("score")))
 
 
 def reading_order(papers: DataFrame, year: str = "year", seq: str = "seq", by: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -256,6 +257,18 @@ def test_recommendations(spark):
     assert [r["priority"] for r in recommend.from_gaps(g).orderBy("position").collect()] == ["high", "high", "medium", "medium", "low"]
 
 
+def test_long_lists_are_diversified(spark):
+    # one list of many titles: comparing each with all before it takes far longer than the limit
+    h = spark.range(60_000).selectExpr("cast(null as string) topic", "id", "if(id % 7 = 0, null, concat('a ', id % 3000, ' w', id)) title", "0.9D score", "cast(id as int) rank")
+    began = time.time()
+    got = {r["id"]: r["shared"] for r in recommend.diversified(h, free=1, by="topic").collect()}
+    assert time.time() - began < 60
+    assert len(got) == 60_000
+    for i in (0, 1, 2, 3000, 3003, 6001, 7, 59_999):
+        met = {w for j in range(i) for w in ([""] if j % 7 == 0 else ["a", str(j % 3000), f"w{j}"])}
+        assert got[i] == len(met & ({""} if i % 7 == 0 else {"a", str(i % 3000), f"w{i}"}))
+
+
 def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
