@@ -269,6 +269,14 @@ def test_long_lists_are_diversified(spark):
         assert got[i] == len(met & ({""} if i % 7 == 0 else {"a", str(i % 3000), f"w{i}"}))
 
 
+def test_agent_lists_of_many_candidates(spark):
+    c = spark.range(60_000).selectExpr("'t' topic", "id", "concat('w', id % 5000, ' x', id) title", "cast(null as string) abstract", "2000 year", "cast(array() as array<string>) keywords", "if(id < 5000, 0.1D, 0.3D) score", "cast(id as int) rank")
+    began = time.time()
+    got = recommend.agent_list(c, spark.createDataFrame([("t", "about x59999")], "topic string, description string"), 3, "topic", free=0).orderBy("rank").collect()
+    assert time.time() - began < 60
+    assert [(r["id"], round(r["score"], 6)) for r in got] == [(59_999, 0.37), (5000, 0.27), (5001, 0.27)]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
