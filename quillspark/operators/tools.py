@@ -41,18 +41,28 @@ def passages(hits: DataFrame, store: DataFrame, width: int = 500) -> DataFrame:
 
 
 def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """id, key of all names (key, name) that a text (id, text) holds, without regard to case: joined by the name's first characters, then compared.
+    """id, key of all names (key, name) that a text (id, text) holds, without regard to case. Empty names are in no text.
 
-    Texts are compared with distinct names. Empty names are in no text.
+    Texts are compared with distinct names: where a name's first characters stand, what is as long as a name of that beginning is joined
+    with it, so names that begin alike don't make rows unless they are there.
     """
     low = names.select("key", F.lower("name").alias("name")).filter("name <> ''")
-    one = low.select("name").distinct().withColumn("gram", F.substring("name", 1, GRAM))
-    rows = texts.select("id", F.lower("text").alias("text")).filter("text <> ''")
-    # a name shorter than a gram is a gram of its own
+    return held_names(texts, low.select("name").distinct()).join(low, "name").select("id", "key").distinct()
+
+
+def held_names(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """id, name of all names (name: lower case, distinct, none empty) that a text (id, text) holds."""
+    one = names.withColumn("gram", F.substring("name", 1, GRAM))
+    begins = one.groupBy("gram").agg(F.collect_set(F.length("name")).alias("lengths"))
+    longest = one.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("longest"))  # one row
+    rows = texts.select("id", F.lower("text").alias("text")).filter("text <> ''").crossJoin(F.broadcast(longest))
     at = F.sequence(F.lit(1), F.length("text"))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(*[F.lit(k) for k in range(1, GRAM + 1)]), lambda k: F.substring(F.col("text"), i, k)))))
-    held = rows.withColumn("gram", F.explode(grams)).join(one, "gram").filter(F.contains("text", F.col("name"))).select("id", "name").distinct()
-    return held.join(low, "name").select("id", "key").distinct()
+    ahead = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.col("longest"))))
+    # a name shorter than a gram is a gram of its own
+    grams = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in range(1, GRAM + 1)]), lambda k: F.substring("ahead", F.lit(1), k)))
+    heads = rows.select("id", F.explode(ahead).alias("ahead")).select("id", "ahead", F.explode(grams).alias("gram"))
+    spans = heads.join(begins, "gram").select("id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("ahead"), F.lit(1), n))).alias("name"))
+    return spans.distinct().join(names.select("name"), "name").select("id", "name")
 
 
 def enriched_claims(claims: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
@@ -63,8 +73,12 @@ def enriched_claims(claims: DataFrame, entities: DataFrame, most: int = 5) -> Da
     full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     open_claims = claims.filter(~(full("method") & full("domain")))
     e = entities.filter(F.col("entity_type").isin("METHOD", "DOMAIN", "FINDING"))
-    found = named_in(open_claims.select(F.col("claim_id").alias("id"), F.col("description").alias("text")), e.select(F.col("entity_id").alias("key"), "name"))
-    found = found.join(e.select(F.col("entity_id").alias("key"), "entity_type", "seq"), "key")
+    # a name stands for its first entities: of a claim's names no others can be among the first
+    by_place = Window.partitionBy("entity_type", "name").orderBy("seq", "key")
+    e = e.select(F.col("entity_id").alias("key"), "entity_type", F.lower("name").alias("name"), "seq").filter("name <> ''")
+    e = e.withColumn("r", F.row_number().over(by_place)).filter(F.col("r") <= F.when(F.col("entity_type") == "FINDING", most).otherwise(1))
+    held = held_names(open_claims.select(F.col("claim_id").alias("id"), F.col("description").alias("text")), e.select("name").distinct())
+    found = held.join(e, "name")
     first = lambda t: F.min(F.when(F.col("entity_type") == t, F.struct("seq", "key")))["key"]
     own = found.groupBy(F.col("id").alias("claim_id")).agg(first("METHOD").alias("m"), first("DOMAIN").alias("d"), F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("entity_type") == "FINDING", F.struct("seq", "key")))), lambda x: x["key"]), 1, most).alias("f"))
     out = claims.join(own, "claim_id", "left")

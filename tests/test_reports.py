@@ -1,5 +1,6 @@
 """Reports, tools and gap analysis: results that can be worked out by hand."""
 
+import time
 import itertools
 import json
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import gaps, graph, reports, stats, tools
+from quillspark.operators import facts, gaps, graph, reports, stats, tools
 
 
 @pytest.mark.parametrize(("n", "m"), [(2, 2), (3, 4), (5, 5), (1, 3)])
@@ -59,6 +60,25 @@ def test_names_in_texts(spark):
     assert got == {(1, "a"), (1, "b"), (1, "c"), (1, "g"), (2, "c"), (5, "b"), (5, "c"), (5, "e"), (5, "g")}
 
 
+def test_names_that_begin_alike(spark):
+    # each text holds one of the names; comparing it with all that begin alike takes far longer than the limit
+    names = spark.range(40_000).selectExpr("concat('k', id) key", "format_string('Supplier#%09d', id) name")
+    texts = spark.range(40_000).selectExpr("id", "format_string('by SUPPLIER#%09d / x', id * 2) text")
+    began = time.time()
+    got = {r["id"]: r["key"] for r in tools.named_in(texts, names).collect()}
+    assert time.time() - began < 60
+    assert got == {i: f"k{2 * i}" for i in range(20_000)}
+
+
+def test_names_are_resolved_among_many_entities(spark):
+    e = spark.range(60_000).selectExpr("concat('e', id) entity_id", "format_string('Supplier#%09d', id) name", "id seq")
+    asked = spark.range(30_000).selectExpr("format_string('a supplier#%09d of', id) mention").union(spark.createDataFrame([("SUPPLIER#000000007",), ("lier#00005",), ("none",)], "mention string"))
+    began = time.time()
+    got = {r["mention"]: r["entity_id"] for r in facts.resolve_names(asked, e).collect()}
+    assert time.time() - began < 60
+    assert got == {f"a supplier#{i:09} of": f"e{i}" for i in range(30_000)} | {"SUPPLIER#000000007": "e7", "lier#00005": "e50000", "none": None}
+
+
 def test_grounded_suggestions(spark):
     papers = spark.createDataFrame([(1, 0, "Deep  Learning"), (1, 1, "Graphs"), (1, 2, ""), (2, 0, "Other")], "by int, seq int, title string")
     rows = [(1, 0, "ok", ["deep learning", "GRAPHS and more", "deep learning"]), (1, 1, "one", ["graphs", "graph"]), (1, 2, "", ["deep learning", "graphs"]), (2, 0, "none", ["x"]), (1, 3, "short", [" ", "deep", "graph"])]
