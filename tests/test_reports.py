@@ -79,6 +79,16 @@ def test_names_are_resolved_among_many_entities(spark):
     assert got == {f"a supplier#{i:09} of": f"e{i}" for i in range(30_000)} | {"SUPPLIER#000000007": "e7", "lier#00005": "e50000", "none": None}
 
 
+def test_claims_name_entities_of_one_name(spark):
+    # 20,000 claims and 20,000 entities of one name: the first five of them are each claim's findings
+    e = spark.range(20_000).selectExpr("concat('f', id) entity_id", "'FINDING' entity_type", "if(id < 3, 'Hot Ring', 'ring') name", "20000 - id seq").union(spark.createDataFrame([("m", "METHOD", "saw", 2), ("n", "METHOD", "saws", 1)], "entity_id string, entity_type string, name string, seq long"))
+    claims = spark.range(20_000).selectExpr("cast(id as string) claim_id", "concat('a ring and SAWS ', id) description", "cast(null as string) method", "'d' domain", "cast(array() as array<string>) findings")
+    began = time.time()
+    got = tools.enriched_claims(claims, e).collect()
+    assert time.time() - began < 60
+    assert len(got) == 20_000 and {(r["method"], *r["findings"]) for r in got} == {("n", *[f"f{i}" for i in range(19_999, 19_994, -1)])}
+
+
 def test_grounded_suggestions(spark):
     papers = spark.createDataFrame([(1, 0, "Deep  Learning"), (1, 1, "Graphs"), (1, 2, ""), (2, 0, "Other")], "by int, seq int, title string")
     rows = [(1, 0, "ok", ["deep learning", "GRAPHS and more", "deep learning"]), (1, 1, "one", ["graphs", "graph"]), (1, 2, "", ["deep learning", "graphs"]), (2, 0, "none", ["x"]), (1, 3, "short", [" ", "deep", "graph"])]
