@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import heapq
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,39 +144,87 @@ def network(facts: DataFrame, min_degree: int = 1, max_nodes: int = 200) -> tupl
     return nodes, links.join(keep("u"), "u", "left_semi").join(keep("v"), "v", "left_semi")
 
 
-def modularity_communities(links: DataFrame, max_nodes: int = 2000) -> DataFrame:
-    """node, cluster: greedy modularity merging, clusters numbered by size. One small graph in one task; its size is checked."""
-    nodes = links.select("u").union(links.select("v")).distinct().count()
-    if nodes > max_nodes:
-        raise ValueError(f"{nodes} nodes; greedy merging takes {max_nodes}. Use label_propagation.")
+def modularity_communities(links: DataFrame) -> DataFrame:
+    """node, cluster: greedy modularity merging, clusters numbered by size, then by their first node.
 
-    def merge(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        df = pd.concat(list(frames))
+    Merging is sequential by definition, but parts of the graph that nothing joins don't meet: a component is one task. Weights are not
+    negative.
+    """
+    w = links.select("u", "v", F.col("weight").cast("double").alias("weight"))
+    # a component's nodes are merged by themselves; a node with links to itself alone is one too
+    part = connected_components(w).select(F.col("node").alias("u"), "label")
+    rows = checkpointed(w.join(part, "u", "left").withColumn("label", F.coalesce("label", "u")))
+    twice = 2 * (rows.agg(F.sum("weight")).first()[0] or 0.0) or 1.0
+
+    def merge(df: pd.DataFrame) -> pd.DataFrame:
         weight: dict[str, dict[str, float]] = {}
         for u, v, w in df[["u", "v", "weight"]].itertuples(index=False):
             weight.setdefault(u, {})[v] = weight.get(u, {}).get(v, 0) + w
             weight.setdefault(v, {})[u] = weight.get(v, {}).get(u, 0) + w
-        twice = sum(sum(x.values()) for x in weight.values()) or 1.0
         share = {u: sum(x.values()) / twice for u, x in weight.items()}
         members = {u: [u] for u in weight}
         between = {u: {v: w / twice for v, w in x.items() if v != u} for u, x in weight.items()}
-        while True:
-            best = max(((2 * (w - share[u] * share[v]), u, v) for u, x in between.items() for v, w in x.items() if u < v), key=lambda t: (t[0], [-ord(c) for c in t[1]], t[2]), default=None)
-            if not best or best[0] <= 1e-12:
+        # the largest gain; at a tie the first u of (u, v), u before v, a longer one before its own beginning, then the last v
+        first = {u: i for i, u in enumerate(sorted(weight, key=lambda u: [*map(ord, u), float("inf")]))}
+        last = {u: -i for i, u in enumerate(sorted(weight))}
+        name = {u: u for u in weight}
+        # a pair is noted at the one with more neighbours, with those of the same weight and share: only their tie tells them apart
+        like: dict[str, dict[tuple[float, float], list[tuple[tuple[int, int], str]]]] = {u: {} for u in weight}
+        noted_at: dict[str, set[str]] = {u: set() for u in weight}
+        heap: list[tuple[float, tuple[int, int], str, tuple[float, float]]] = []
+        gain = lambda u, kind: -2 * (kind[0] - share[u] * kind[1])
+
+        def tie(u: str, v: str) -> tuple[int, int]:
+            a, b = name[u], name[v]
+            return (first[a], last[b]) if a < b else (first[b], last[a])
+
+        def note(u: str, v: str) -> None:
+            u, v = (u, v) if len(between[u]) >= len(between[v]) else (v, u)
+            kind, entry = (between[u][v], share[v]), (tie(u, v), v)
+            heapq.heappush(same := like[u].setdefault(kind, []), entry)
+            noted_at[v].add(u)
+            if same[0] == entry:
+                heapq.heappush(heap, (gain(u, kind), entry[0], u, kind))
+
+        for u, x in between.items():
+            for v in x:
+                if u < v:
+                    note(u, v)
+        while heap:
+            # what is noted of a pair is its gain or more: shares only grow, and a pair is noted anew where its weight, tie or other share changes
+            _, _, u, kind = heap[0]
+            same = like[u].get(kind, []) if u in like else []
+            while same and not (between[u].get(same[0][1]) == kind[0] and share.get(same[0][1]) == kind[1] and tie(u, same[0][1]) == same[0][0]):
+                heapq.heappop(same)
+            if not same:
+                heapq.heappop(heap)
+                continue
+            now = (gain(u, kind), same[0][0], u, kind)
+            if now != heap[0]:
+                heapq.heapreplace(heap, now)
+                continue
+            if -now[0] <= 1e-12:
                 break
-            _, u, v = best
-            for x, w in between.pop(v).items():
-                between[x].pop(v, None)
-                if x != u:
-                    between[u][x] = between[u].get(x, 0) + w
-                    between[x][u] = between[u][x]
-            between[u].pop(v, None)
+            v = same[0][1]
+            u, v = (u, v) if len(between[u]) >= len(between[v]) else (v, u)
             share[u] += share.pop(v)
             members[u] += members.pop(v)
-        groups = sorted(members.values(), key=lambda g: (-len(g), min(g)))
-        yield pd.DataFrame([(n, i) for i, g in enumerate(groups) for n in sorted(g)], columns=["node", "cluster"])
-
-    return links.select("u", "v", F.col("weight").cast("double").alias("weight")).coalesce(1).mapInPandas(merge, "node string, cluster int")
+            renamed, name[u] = name[v] < name[u], min(name[u], name[v])
+            changed, noted_at[u] = noted_at[u], set()
+            for x, w in between.pop(v).items():
+                between[x].pop(v)
+                if x != u:
+                    between[u][x] = between[x][u] = between[u].get(x, 0) + w
+                    changed.add(x)
+            del like[v], noted_at[v]
+            for x in between[u] if renamed else changed & between[u].keys():
+                note(u, x)
+        return pd.DataFrame([(n, min(g), len(g)) for g in members.values() for n in g], columns=["node", "first", "n"])
+
+    found = checkpointed(rows.groupBy("label").applyInPandas(merge, "node string, first string, n long"))
+    # one row a cluster is numbered
+    number = found.filter("node = first").select("first", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("cluster"))
+    return found.join(number, "first").select("node", "cluster")
 
 
 def node_view(nodes: DataFrame, links: DataFrame, search: str = "", selected: str | None = None) -> DataFrame:

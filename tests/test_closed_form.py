@@ -177,6 +177,37 @@ def test_graph(spark):
     assert c["a"] == c["b"] == c["c"] != c["d"] == c["e"]
 
 
+def test_modularity_merges_the_best_pair_of_all(spark):
+    rng = random.Random(3)
+    links = [(f"{rng.choice('abab1')}{rng.randrange(14)}", f"{rng.choice('abab1')}{rng.randrange(14)}", float(rng.randrange(1, 4))) for _ in range(60)] + [(f"z{i}", f"z{i + 1}", 1.0) for i in range(20)] + [("y", "y", 2.0), ("x", "w", 1.0)]
+    weight, twice = {}, 2 * sum(w for *_, w in links)
+    for u, v, w in links:
+        for a, b in ((u, v), (v, u)):
+            weight.setdefault(a, {})[b] = weight.get(a, {}).get(b, 0) + w
+    share, members = {u: sum(x.values()) / twice for u, x in weight.items()}, {u: [u] for u in weight}
+    between = {u: {v: w / twice for v, w in x.items() if v != u} for u, x in weight.items()}
+    while pairs := [(2 * (w - share[u] * share[v]), [-ord(c) for c in u], v, u) for u, x in between.items() for v, w in x.items() if u < v]:
+        gain, _, v, u = max(pairs)
+        if gain <= 1e-12:
+            break
+        for x, w in between.pop(v).items():
+            between[x].pop(v)
+            if x != u:
+                between[u][x] = between[x][u] = between[u].get(x, 0) + w
+        share[u] += share.pop(v)
+        members[u] += members.pop(v)
+    want = {n: i for i, g in enumerate(sorted(members.values(), key=lambda g: (-len(g), min(g)))) for n in g}
+    df = spark.createDataFrame(links, "u string, v string, weight double")
+    assert {r["node"]: r["cluster"] for r in graph.modularity_communities(df).collect()} == want
+    assert len(set(want.values())) > 6
+
+
+def test_modularity_takes_many_nodes(spark):
+    stars = spark.range(3000).selectExpr("concat('h', id % 30) u", "concat('n', id) v", "1.0D weight")
+    got = graph.modularity_communities(stars).groupBy("cluster").count().collect()
+    assert {r["count"] for r in got} == {101} and {r["cluster"] for r in got} == set(range(30))
+
+
 def test_gaps(spark):
     p = spark.createDataFrame([("t", "1", 1, ["a", "b"]), ("t", "2", 2, ["a", "b"]), ("t", "3", 3, ["x"])], "topic string, id string, seq int, approaches array<string>")
     c = gaps.greedy_clusters(p, "topic", "id", "approaches", "seq")
