@@ -54,21 +54,22 @@ def held_names(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, name of all names (name: lower case, distinct, none empty) that a text (id, text) holds."""
     one = names.withColumn("gram", F.substring("name", 1, GRAM))
     begins = one.groupBy("gram").agg(F.collect_set(F.length("name")).alias("lengths"))
-    longest = one.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("longest"))  # one row
-    rows = texts.select("id", F.lower("text").alias("text")).filter("text <> ''").crossJoin(F.broadcast(longest))
+    # a name shorter than a gram is a gram of its own; only lengths that names have are looked up
+    sizes = one.agg(F.coalesce(F.max(F.length("name")), F.lit(0)).alias("longest"), F.collect_set(F.length("gram")).alias("sizes"))  # one row
+    rows = texts.select("id", F.lower("text").alias("text")).filter("text <> ''").crossJoin(F.broadcast(sizes))
     at = F.sequence(F.lit(1), F.length("text"))
     ahead = F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.col("longest"))))
-    # a name shorter than a gram is a gram of its own
-    grams = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in range(1, GRAM + 1)]), lambda k: F.substring("ahead", F.lit(1), k)))
-    heads = rows.select("id", F.explode(ahead).alias("ahead")).select("id", "ahead", F.explode(grams).alias("gram"))
-    spans = heads.join(begins, "gram").select("id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("ahead"), F.lit(1), n))).alias("name"))
-    return spans.distinct().join(names.select("name"), "name").select("id", "name")
+    heads = rows.select("id", "sizes", F.explode(ahead).alias("ahead"))
+    grams = heads.select("id", "ahead", F.explode("sizes").alias("n")).select("id", "ahead", F.substring(F.col("ahead"), F.lit(1), F.col("n")).alias("gram"))
+    spans = grams.join(begins, "gram").select("id", F.explode(F.transform("lengths", lambda n: F.substring(F.col("ahead"), F.lit(1), n))).alias("name"))
+    return spans.join(names.select("name"), "name", "left_semi").select("id", "name").distinct()
 
 
 def enriched_claims(claims: DataFrame, entities: DataFrame, most: int = 5) -> DataFrame:
     """claims (claim_id, description, method, domain, findings) with what their description names: the first method and domain, the first findings.
 
-    A claim that has both a method and a domain stays as it is, and so does whatever a claim has of its own.
+    A claim that has both a method and a domain stays as it is, and so does whatever a claim has of its own. What a description
+    names depends on nothing else, so each is looked up once, however many claims have it.
     """
     full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     open_claims = claims.filter(~(full("method") & full("domain")))
@@ -76,12 +77,14 @@ def enriched_claims(claims: DataFrame, entities: DataFrame, most: int = 5) -> Da
     # a name stands for its first entities: of a claim's names no others can be among the first
     by_place = Window.partitionBy("entity_type", "name").orderBy("seq", "key")
     e = e.select(F.col("entity_id").alias("key"), "entity_type", F.lower("name").alias("name"), "seq").filter("name <> ''")
-    e = e.withColumn("r", F.row_number().over(by_place)).filter(F.col("r") <= F.when(F.col("entity_type") == "FINDING", most).otherwise(1))
-    held = held_names(open_claims.select(F.col("claim_id").alias("id"), F.col("description").alias("text")), e.select("name").distinct())
+    # the constant limit lets each task drop what it can before the rows are dealt out by name
+    e = e.withColumn("r", F.row_number().over(by_place)).filter(F.col("r") <= max(most, 1)).filter(F.col("r") <= F.when(F.col("entity_type") == "FINDING", most).otherwise(1))
+    said = open_claims.select(F.col("description").alias("id"), F.col("description").alias("text")).distinct()
+    held = held_names(said, e.select("name").distinct())
     found = held.join(e, "name")
     first = lambda t: F.min(F.when(F.col("entity_type") == t, F.struct("seq", "key")))["key"]
-    own = found.groupBy(F.col("id").alias("claim_id")).agg(first("METHOD").alias("m"), first("DOMAIN").alias("d"), F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("entity_type") == "FINDING", F.struct("seq", "key")))), lambda x: x["key"]), 1, most).alias("f"))
-    out = claims.join(own, "claim_id", "left")
+    own = found.groupBy(F.col("id").alias("said")).agg(first("METHOD").alias("m"), first("DOMAIN").alias("d"), F.slice(F.transform(F.sort_array(F.collect_list(F.when(F.col("entity_type") == "FINDING", F.struct("seq", "key")))), lambda x: x["key"]), 1, most).alias("f"))
+    out = claims.join(own, ~(full("method") & full("domain")) & (F.col("description") == F.col("said")), "left").drop("said")
     none = F.array().cast("array<string>")
     return out.withColumn("findings", F.when(F.size(F.coalesce("findings", none)) > 0, F.col("findings")).otherwise(F.coalesce("f", none))).withColumn("method", F.when(full("method"), F.col("method")).otherwise(F.col("m"))).withColumn("domain", F.when(full("domain"), F.col("domain")).otherwise(F.col("d"))).drop("m", "d", "f")
 

@@ -89,6 +89,17 @@ def test_claims_name_entities_of_one_name(spark):
     assert len(got) == 20_000 and {(r["method"], *r["findings"]) for r in got} == {("n", *[f"f{i}" for i in range(19_999, 19_994, -1)])}
 
 
+def test_claims_of_one_description(spark):
+    # 40,000 claims say the same 1,400 characters, which are looked up once; names of one to four characters among them
+    e = spark.createDataFrame([("m", "METHOD", "Zz9", 1), ("d", "DOMAIN", "q", 2), ("f", "FINDING", "word 77 ", 3), ("g", "FINDING", "word 777", 4), ("h", "FINDING", "99z", 5)], "entity_id string, entity_type string, name string, seq long")
+    claims = spark.range(40_000).selectExpr("cast(id as string) claim_id", "if(id = 5, null, concat(array_join(transform(sequence(1, 180), i -> concat('word ', i)), ' '), ' Q zZ9')) description", "if(id = 6, 'own', null) method", "if(id = 6, 'own', '') domain", "cast(null as array<string>) findings")
+    began = time.time()
+    got = {r["claim_id"]: (r["method"], r["domain"], r["findings"]) for r in tools.enriched_claims(claims, e).collect()}
+    assert time.time() - began < 40
+    assert len(got) == 40_000 and got.pop("5") == (None, None, [])
+    assert got.pop("6") == ("own", "own", []) and set(map(repr, got.values())) == {repr(("m", "d", ["f"]))}
+
+
 def test_grounded_suggestions(spark):
     papers = spark.createDataFrame([(1, 0, "Deep  Learning"), (1, 1, "Graphs"), (1, 2, ""), (2, 0, "Other")], "by int, seq int, title string")
     rows = [(1, 0, "ok", ["deep learning", "GRAPHS and more", "deep learning"]), (1, 1, "one", ["graphs", "graph"]), (1, 2, "", ["deep learning", "graphs"]), (2, 0, "none", ["x"]), (1, 3, "short", [" ", "deep", "graph"])]
