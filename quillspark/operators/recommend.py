@@ -43,9 +43,21 @@ def diversified(hits: DataFrame, title: str = "title", weight: float = 0.3, free
     A word is shared where its first title stands earlier, so titles are compared with one row a word and list, not with each other.
     """
     lists = [by] if by else []
-    own = F.array_distinct(F.split(F.lower(F.coalesce(title, F.lit(""))), "\\s+"))
-    first = hits.select(*lists, F.explode(own).alias("word"), F.col("rank").alias("r")).groupBy(*lists, "word").agg(F.min("r").alias("r"))
+    return _less_shared(hits, _first_places(hits, title, lists), title, weight, free, lists)
+
+
+def _own_words(title: str) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(title, F.lit(""))), "\\s+"))
+
+
+def _first_places(hits: DataFrame, title: str, lists: list[str]) -> DataFrame:
+    """lists, word, r: the rank of the first title of a list that has the word."""
+    return hits.select(*lists, F.explode(_own_words(title)).alias("word"), F.col("rank").alias("r")).groupBy(*lists, "word").agg(F.min("r").alias("r"))
+
+
+def _less_shared(hits: DataFrame, first: DataFrame, title: str, weight: float, free: int, lists: list[str]) -> DataFrame:
     # the row goes with its first word; the others have its number
+    own = _own_words(title)
     rows = hits.withColumn("row_no", F.monotonically_increasing_id())
     words = rows.select("row_no", *[F.col(c).alias(f"list_{c}") for c in lists], F.col("rank").alias("at"), F.struct(*hits.columns).alias("hit"), F.posexplode(own).alias("i", "w"))
     words = words.withColumn("hit", F.when(F.col("i") == 0, F.col("hit")))
@@ -92,6 +104,16 @@ def gap_words(gaps: DataFrame, text: str = "description", by: str | None = None)
     return words.filter(F.length("word") > 4).distinct()
 
 
+def _leading(rows: DataFrame, k: int, by: str, weight: float) -> DataFrame:
+    """The rows that can be among a list's k best once shared words are taken off: no row loses more than for all its words, or rises above 0."""
+    least = F.greatest(F.lit(0.0), F.col("score") - F.size(_own_words("title")) * weight * 0.1)
+    best = rows.select(F.col(by).alias("of"), F.when(F.col("score") < 0, F.col("score")).otherwise(least).alias("least"))
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("least")))).filter(F.col("r") <= k)
+    bar = best.groupBy("of").agg(F.when(F.count("*") == k, F.min("least")).alias("bar"))
+    # far less than a step of scores, far more than their rounding
+    return rows.join(bar, F.col(by).eqNullSafe(F.col("of")), "left").filter(F.col("bar").isNull() | F.coalesce(F.greatest(F.col("score"), F.lit(0.0)) >= F.col("bar") - 1e-9, F.lit(True))).drop("of", "bar")
+
+
 def agent_list(candidates: DataFrame, gaps: DataFrame, k: int, by: str, weight: float = 0.3, per_word: float = 0.1, free: int = 3) -> DataFrame:
     """The best k of each list (by) of candidates (id, title, abstract, year, keywords, score, rank), which are top-ks.
 
@@ -102,14 +124,20 @@ def agent_list(candidates: DataFrame, gaps: DataFrame, k: int, by: str, weight:
     rows = candidates.join(words, by, "left").withColumn("title", F.coalesce("title", F.lit("Unknown")))
     low_title, low_text = F.lower("title"), F.lower(F.coalesce("abstract", F.lit("")))
     named = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.contains(low_title, w) | F.contains(low_text, w)))
+    rows = rows.withColumn("n_gaps", named).withColumn("told_score", F.col("score"))
+    rows = rows.withColumn("score", F.when(F.col("n_gaps") > 0, F.least(F.lit(1.0), F.col("score") + F.col("n_gaps") * per_word)).otherwise(F.col("score")))
+    if weight > 0:
+        # reasons are told of the rows that are left
+        rows = _leading(rows, k, by, weight)
     told = F.concat_ws(
-        "; ", F.when(F.col("score") > 0.8, "Highly relevant to your query").when(F.col("score") > 0.6, "Relevant to your research area"),
+        "; ", F.when(F.col("told_score") > 0.8, "Highly relevant to your query").when(F.col("told_score") > 0.6, "Relevant to your research area"),
         F.when(F.col("year") >= 2020, F.concat(F.lit("Recent publication ("), F.col("year").cast("string"), F.lit(")"))),
         F.when(F.size("keywords") > 0, "Matches key research themes"), F.when(F.col("words").isNotNull(), "Addresses identified research gaps"),
     )
-    rows = rows.withColumn("n_gaps", named).withColumn("reason", F.when(told == "", "Relevant to your query").otherwise(told))
+    rows = rows.withColumn("reason", F.when(told == "", "Relevant to your query").otherwise(told))
     rows = rows.withColumn("reason", F.when(F.col("n_gaps") > 0, F.concat("reason", F.lit(" | Addresses "), F.col("n_gaps").cast("string"), F.lit(" identified gap(s)"))).otherwise(F.col("reason")))
-    rows = rows.withColumn("score", F.when(F.col("n_gaps") > 0, F.least(F.lit(1.0), F.col("score") + F.col("n_gaps") * per_word)).otherwise(F.col("score")))
-    fresh = diversified(rows.drop("words"), "title", weight, free, by) if weight > 0 else rows.drop("words")
+    rows = rows.drop("words", "told_score")
+    titled = candidates.withColumn("title", F.coalesce("title", F.lit("Unknown")))
+    fresh = _less_shared(rows, _first_places(titled, "title", [by]), "title", weight, free, [by]) if weight > 0 else rows
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 12)), "old_rank")
     return fresh.withColumnRenamed("rank", "old_rank").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
