@@ -105,15 +105,15 @@ SELECT conv_id, turn, CAST(place AS INTEGER) AS place, left(title, 200) AS title
 
 
 def agent_rows(s, d):
-    """A topic's papers as its candidates, and each fifth paper's title as what a gap of its topic says."""
+    """A topic's papers as its candidates, and each paper's title as what a gap of its topic says."""
     p = papers(s, d)
     score = (F.col("seq") % 100) / 100
     cand = p.select("topic", F.col("paper_id").alias("id"), "title", F.col("content").alias("abstract"), (F.col("year") + 10).alias("year"), "keywords", score.alias("score"), F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(score), "seq")).alias("rank"))
-    gaps = p.filter("seq % 50 = 0").select("topic", F.col("title").alias("description"))
+    gaps = p.select("topic", F.col("title").alias("description"))
     return recommend.agent_list(cand, gaps, 10, "topic", free=1).select("topic", "id", F.round("score", 6).alias("score"), "reason", "rank")
 
 
-_AGENT = f"""WITH {PAPERS}, w AS (SELECT topic, list(DISTINCT x) AS ws FROM (SELECT topic, unnest(regexp_split_to_array(lower(title), '\\s+')) AS x FROM papers WHERE seq % 50 = 0) WHERE length(x) > 4 GROUP BY topic),
+_AGENT = f"""WITH {PAPERS}, w AS (SELECT topic, list(DISTINCT x) AS ws FROM (SELECT topic, unnest(regexp_split_to_array(lower(title), '\\s+')) AS x FROM papers) WHERE length(x) > 4 GROUP BY topic),
  c AS (SELECT p.topic, paper_id AS id, title, year + 10 AS year, seq % 100 / 100 AS s, row_number() OVER (PARTITION BY p.topic ORDER BY seq % 100 DESC, seq) AS r, len(list_filter(coalesce(ws, []), lambda x: contains(lower(title), x))) AS n, ws IS NOT NULL AS has, list_distinct(regexp_split_to_array(lower(title), '\\s+')) AS own FROM papers p LEFT JOIN w ON w.topic = p.topic),
  b AS (SELECT *, CASE WHEN n > 0 THEN least(1, s + n * 0.1) ELSE s END AS bs, concat_ws('; ', CASE WHEN s > 0.8 THEN 'Highly relevant to your query' WHEN s > 0.6 THEN 'Relevant to your research area' END, CASE WHEN year >= 2020 THEN 'Recent publication (' || year || ')' END, 'Matches key research themes', CASE WHEN has THEN 'Addresses identified research gaps' END) || CASE WHEN n > 0 THEN ' | Addresses ' || n || ' identified gap(s)' ELSE '' END AS reason FROM c),
  o AS (SELECT topic, id, r, unnest(own) AS x FROM b), f AS (SELECT topic, x, min(r) AS f FROM o GROUP BY ALL), k AS (SELECT topic, id, count(*) FILTER (WHERE f < r) AS k FROM o JOIN f USING (topic, x) GROUP BY ALL),

@@ -80,3 +80,25 @@ def test_topics_take_labels_met_late(spark, tmp_path):
     e.withColumn("label", F.when(F.col("vec_id") == 120, F.lit(77)).otherwise(F.col("label")).cast(e.schema["label"].dataType)).write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r["id"]: r["topic"] for r in QUERIES["topic_assign"](spark, str(tmp_path)).collect()}
     assert got[120] == 77
+
+
+def test_agent_lists_take_all_gaps(spark):
+    topics = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        topics[r["p_brand"]].append(r)
+    want = set()
+    for topic, own in topics.items():
+        gaps = {w for r in own for w in r["p_name"].lower().split() if len(w) > 4}
+        seen, rows = set(), []
+        for at, r in enumerate(sorted(own, key=lambda r: (-(r["p_partkey"] % 100), r["p_partkey"]))):
+            told, words, year = r["p_partkey"] % 100 / 100, set(r["p_name"].lower().split()), 2010 + r["p_size"] % 25
+            n = sum(w in r["p_name"].lower() for w in gaps)
+            score = min(1, told + n * 0.1)
+            score = max(0, score - len(words & seen) * 0.03) if len(words & seen) > 1 else score
+            seen |= words
+            why = ["Highly relevant to your query"] * (told > 0.8) or ["Relevant to your research area"] * (told > 0.6)
+            why += [f"Recent publication ({year})"] * (year >= 2020) + ["Matches key research themes", "Addresses identified research gaps"]
+            rows.append((-round(score, 12), at, f"p{r['p_partkey']}", "; ".join(why) + f" | Addresses {n} identified gap(s)" * (n > 0)))
+        want |= {(topic, i, round(-s, 6), why, k) for k, (s, _, i, why) in enumerate(sorted(rows)[:10], 1)}
+    got = {(r["topic"], r["id"], r["score"], r["reason"], r["rank"]) for r in QUERIES["agent_recommend"](spark, SF).collect()}
+    assert len(got) == 250 and got == want
