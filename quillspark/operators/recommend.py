@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tools import held_names
+
 WEIGHTS = (("content", 0.5), ("graph", 0.3), ("gap", 0.2))
+#: Up to so many words of gaps a list holds them as an array; of more, only those that stand in a text are met.
+FEW_WORDS = 100
+#: Words of more characters are compared one by one.
+LONG_WORD = 1000
 
 
 def graph_scores(edges: DataFrame, seeds: DataFrame, most: int = 10, per_hit: float = 0.5) -> DataFrame:
@@ -104,6 +110,29 @@ def gap_words(gaps: DataFrame, text: str = "description", by: str | None = None)
     return words.filter(F.length("word") > 4).distinct()
 
 
+def _gaps_named(rows: DataFrame, words: DataFrame, by: str) -> DataFrame:
+    """rows (title, abstract) with has_gaps and n_gaps: whether their list has words (by, word), and how many of them title or abstract hold."""
+    low = [F.lower("title"), F.lower(F.coalesce("abstract", F.lit("")))]
+    if words.groupBy(by).count().filter(F.col("count") > FEW_WORDS).isEmpty():
+        held = rows.join(words.groupBy(by).agg(F.collect_list("word").alias("gap_words")), by, "left")
+        named = F.filter(F.coalesce("gap_words", F.array().cast("array<string>")), lambda w: F.contains(low[0], w) | F.contains(low[1], w))
+        return held.withColumn("n_gaps", F.size(named)).withColumn("has_gaps", F.col("gap_words").isNotNull()).drop("gap_words")
+    # a gap's word has no white space, so it stands within a word of the text; such a word is looked up once for all texts
+    own = F.filter(F.array_distinct(F.concat(*[F.split(t, "\\s+") for t in low])), lambda w: F.length(w) > 4)
+    said = rows.select(F.col(by).alias("of"), F.explode(own).alias("own")).distinct()
+    told = words.select(F.col(by).alias("list"), "word")
+    short = held_names(said.select(F.col("own").alias("id"), F.col("own").alias("text")).distinct().filter(F.length("text") <= LONG_WORD), told.select(F.col("word").alias("name")).distinct().filter(F.length("name") <= LONG_WORD))
+    met = said.join(short, F.col("own") == F.col("id")).join(told, (F.col("of") == F.col("list")) & (F.col("name") == F.col("word"))).select("of", "own", "word")
+    met = met.union(said.filter(F.length("own") > LONG_WORD).join(told, F.col("of") == F.col("list")).filter(F.contains("own", F.col("word"))).select("of", "own", "word"))
+    met = met.groupBy(F.col("of").alias("list"), F.col("own").alias("held")).agg(F.collect_list("word").alias("words"))
+    # the row goes with its first word; the others have its number
+    listed = rows.join(words.select(by).distinct().withColumn("has_gaps", F.lit(True)), by, "left").withColumn("has_gaps", F.coalesce("has_gaps", F.lit(False)))
+    # numbered before they are taken apart
+    parts = listed.withColumn("row_no", F.monotonically_increasing_id()).select("row_no", F.col(by).alias("of"), F.struct(*listed.columns).alias("row"), F.posexplode_outer(own).alias("i", "own"))
+    parts = parts.withColumn("row", F.when(F.coalesce("i", F.lit(0)) == 0, F.col("row"))).join(met, (F.col("of") == F.col("list")) & (F.col("own") == F.col("held")), "left")
+    return parts.groupBy("row_no").agg(F.first("row", ignorenulls=True).alias("row"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("n_gaps")).select("row.*", "n_gaps")
+
+
 def _leading(rows: DataFrame, k: int, by: str, weight: float) -> DataFrame:
     """The rows that can be among a list's k best once shared words are taken off: no row loses more than for all its words, or rises above 0."""
     least = F.greatest(F.lit(0.0), F.col("score") - F.size(_own_words("title")) * weight * 0.1)
@@ -120,11 +149,8 @@ def agent_list(candidates: DataFrame, gaps: DataFrame, k: int, by: str, weight:
     Scores rise by the words of the list's gaps (by, description) in title or abstract, 1 at most; then titles that repeat
     earlier ones lose, and the rest go by score. reason says why: score, year, keywords and gaps, in that order.
     """
-    words = gap_words(gaps, "description", by).groupBy(by).agg(F.collect_list("word").alias("words"))
-    rows = candidates.join(words, by, "left").withColumn("title", F.coalesce("title", F.lit("Unknown")))
-    low_title, low_text = F.lower("title"), F.lower(F.coalesce("abstract", F.lit("")))
-    named = F.size(F.filter(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.contains(low_title, w) | F.contains(low_text, w)))
-    rows = rows.withColumn("n_gaps", named).withColumn("told_score", F.col("score"))
+    titled = candidates.withColumn("title", F.coalesce("title", F.lit("Unknown")))
+    rows = _gaps_named(titled, gap_words(gaps, "description", by), by).withColumn("told_score", F.col("score"))
     rows = rows.withColumn("score", F.when(F.col("n_gaps") > 0, F.least(F.lit(1.0), F.col("score") + F.col("n_gaps") * per_word)).otherwise(F.col("score")))
     if weight > 0:
         # reasons are told of the rows that are left
@@ -132,12 +158,11 @@ def agent_list(candidates: DataFrame, gaps: DataFrame, k: int, by: str, weight:
     told = F.concat_ws(
         "; ", F.when(F.col("told_score") > 0.8, "Highly relevant to your query").when(F.col("told_score") > 0.6, "Relevant to your research area"),
         F.when(F.col("year") >= 2020, F.concat(F.lit("Recent publication ("), F.col("year").cast("string"), F.lit(")"))),
-        F.when(F.size("keywords") > 0, "Matches key research themes"), F.when(F.col("words").isNotNull(), "Addresses identified research gaps"),
+        F.when(F.size("keywords") > 0, "Matches key research themes"), F.when(F.col("has_gaps"), "Addresses identified research gaps"),
     )
     rows = rows.withColumn("reason", F.when(told == "", "Relevant to your query").otherwise(told))
     rows = rows.withColumn("reason", F.when(F.col("n_gaps") > 0, F.concat("reason", F.lit(" | Addresses "), F.col("n_gaps").cast("string"), F.lit(" identified gap(s)"))).otherwise(F.col("reason")))
-    rows = rows.drop("words", "told_score")
-    titled = candidates.withColumn("title", F.coalesce("title", F.lit("Unknown")))
+    rows = rows.drop("has_gaps", "told_score")
     fresh = _less_shared(rows, _first_places(titled, "title", [by]), "title", weight, free, [by]) if weight > 0 else rows
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 12)), "old_rank")
     return fresh.withColumnRenamed("rank", "old_rank").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -1,7 +1,9 @@
 """Results that can be worked out by hand."""
 
+import collections
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -326,6 +328,37 @@ def test_agent_lists_of_many_candidates(spark):
     assert [(r["id"], round(r["score"], 6)) for r in got] == [(59_999, 0.37), (5000, 0.27), (5001, 0.27)]
 
 
+def test_agent_lists_of_many_gap_words(spark):
+    # each title has a word of its own that describes a gap: each row against each word takes far longer than the limit
+    c = spark.range(60_000).selectExpr("'t' topic", "id", "concat('x gap', lpad(id, 5, '0')) title", "if(id = 40000, 'in agap00001 and gap00002z', null) abstract", "2000 year", "cast(array() as array<string>) keywords", "if(id < 9, 0.5D, 0.1D) score", "cast(id as int) rank")
+    began = time.time()
+    got = recommend.agent_list(c, c.selectExpr("topic", "title description"), 11, "topic").orderBy("rank").collect()
+    assert time.time() - began < 60
+    assert [(r["id"], round(r["score"], 6), r["n_gaps"]) for r in got] == [(i, 0.6, 1) for i in range(9)] + [(40_000, 0.4, 3), (9, 0.2, 1)]
+
+
+def test_gap_words_are_held_or_looked_up(spark, monkeypatch):
+    rnd = random.Random(5)
+    bits = ["", "a", "abcde", "bcdef", "cdefg", "ABCDEF", "\u00c9t\u00e9s-", "\u4e2d\u6587\u6807\u9898\u5b57", "q" * 1200]
+    text = lambda: rnd.choice([None, *[rnd.choice([" ", "\t", "\u00a0", ""]).join(rnd.choice(bits) for _ in range(rnd.randrange(6))) for _ in range(9)]])
+    rows = [(rnd.choice(["t", "u", "none", None]), i, text(), text(), 2000, [], round(rnd.random(), 2), i) for i in range(400)]
+    gaps = [(t, text()) for t in ("t", "u", None) for _ in range(12)] + [("t", "q" * 1100), ("t", "abcde q")]
+    c = spark.createDataFrame(rows, "topic string, id long, title string, abstract string, year int, keywords array<string>, score double, rank int")
+    g = spark.createDataFrame(gaps, "topic string, description string")
+    got = []
+    for few in (10**6, 0):
+        monkeypatch.setattr(recommend, "FEW_WORDS", few)
+        got.append(sorted(recommend.agent_list(c, g, 400, "topic").collect(), key=lambda r: r["id"]))
+    assert got[0] == got[1] and [r["id"] for r in got[0]] == list(range(400))
+    words = collections.defaultdict(set)
+    for t, d in gaps:
+        words[t] |= {w for w in re.split(r"[ \t]+", (d or "").lower()) if len(w) > 4 and t}
+    for (t, _, title, text_, *_), r in zip(rows, got[0], strict=True):
+        low = [("Unknown" if title is None else title).lower(), (text_ or "").lower()]
+        assert r["n_gaps"] == sum(any(w in x for x in low) for w in words[t])
+        assert ("Addresses identified research gaps" in r["reason"]) == bool(words[t])
+
+
 def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
